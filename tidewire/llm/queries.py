@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidewire.llm import sql
+from tidewire.llm import boilerplate, sql
 from tidewire.llm.lines import RepeatedLines
 from tidewire.llm.pairs import pair_counts
 from tidewire.session import table
@@ -20,6 +20,15 @@ def p4_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return p4_pairs(spark, sf_dir).select(F.col("a").alias("entity_id_a"), F.col("b").alias("entity_id_b"))
 
 
+def p5_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return boilerplate.furniture_lines(table(spark, sf_dir, "raw_articles")).distinct()
+
+
+def p5_bodies(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Each page's main body."""
+    return boilerplate.bodies(table(spark, sf_dir, "raw_articles"))
+
+
 def p7_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     state = RepeatedLines(spark)
     state.merge(table(spark, sf_dir, "raw_articles"))
