@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidewire.llm import boilerplate, sql
+from tidewire.llm import boilerplate, sql, truncation
 from tidewire.llm.lines import RepeatedLines
 from tidewire.llm.pairs import pair_counts
 from tidewire.session import table
@@ -29,6 +29,15 @@ def p5_bodies(spark: SparkSession, sf_dir: str) -> DataFrame:
     return boilerplate.bodies(table(spark, sf_dir, "raw_articles"))
 
 
+def p6_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return truncation.cut_values(table(spark, sf_dir, "raw_articles"))
+
+
+def p6_shares(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """How often each source cuts each field."""
+    return truncation.cut_shares(table(spark, sf_dir, "raw_articles"))
+
+
 def p7_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     state = RepeatedLines(spark)
     state.merge(table(spark, sf_dir, "raw_articles"))
