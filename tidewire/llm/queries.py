@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidewire.llm import boilerplate, sql, truncation
+from tidewire.llm import boilerplate, leakage, sql, truncation
 from tidewire.llm.lines import RepeatedLines
 from tidewire.llm.pairs import pair_counts
 from tidewire.session import table
@@ -52,6 +52,15 @@ def p7_texts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return state.rebuild(articles)
 
 
+def p8_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return leakage.leaks(table(spark, sf_dir, "documents"), table(spark, sf_dir, "eval_items"))
+
+
+def p8_items(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Per test item, in how many documents it leaks."""
+    return leakage.leaked_items(table(spark, sf_dir, "documents"), table(spark, sf_dir, "eval_items"))
+
+
 def queries() -> dict:
     return {name: fn for name, fn in globals().items() if name.startswith("p") and name[1:2].isdigit()}
 

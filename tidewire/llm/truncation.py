@@ -54,20 +54,29 @@ from (
 
 _LIMITS = r"""
 with n as (
-  select source_id, field_name, kind, len, count(distinct print) as n
-  from (select source_id, field_name, print, stack(2, 'chars', chars, 'bytes', bytes) as (kind, len) from {ends}
-        union all select null as source_id, field_name, print, stack(2, 'chars', chars, 'bytes', bytes) as (kind, len) from {ends})
-  group by source_id, field_name, kind, len),
+  select source_id, field_name, {kind} as len, count(distinct print) as n
+  from (select source_id, field_name, print, {kind} from {ends} union all select null as source_id, field_name, print, {kind} from {ends})
+  group by source_id, field_name, {kind}),
 near as (
-  select *, sum(n) over (partition by source_id, field_name, kind order by len range between {near} preceding and {near} following) - n as around,
-         max(len) over (partition by source_id, field_name, kind) as longest
+  select *, sum(n) over (partition by source_id, field_name order by len range between {near} preceding and {near} following) - n as around,
+         max(len) over (partition by source_id, field_name) as longest
   from n)
-select source_id, field_name, kind, len, n from near
+select source_id, field_name, '{kind}' as kind, len, n from near
 where n >= {least} and n >= {times} * around / if(len = longest, {near}, 2 * {near})
 """
 
-def _limits(spark: SparkSession, ends: DataFrame) -> DataFrame:
-    return spark.sql(_LIMITS.replace("{near}", str(LIMIT_NEAR)).replace("{least}", str(LIMIT_ROWS)).replace("{times}", str(LIMIT_TIMES)), ends=ends)
+
+def _spikes(ends: DataFrame, kind: str) -> DataFrame:
+    text = _LIMITS.replace("{near}", str(LIMIT_NEAR)).replace("{least}", str(LIMIT_ROWS)).replace("{times}", str(LIMIT_TIMES)).replace("{kind}", kind)
+    return ends.sparkSession.sql(text, ends=ends)
+
+
+def _limits(ends: DataFrame) -> DataFrame:
+    """(source_id, field_name, kind, len, n): limits in characters, and in bytes among the values that are at none in characters
+    (values of one number of characters crowd at nearby numbers of bytes)."""
+    chars = written(_spikes(ends, "chars"), "limits")
+    same = ends["field_name"].eqNullSafe(chars["field_name"]) & (ends["chars"] == chars["len"]) & (chars["source_id"].isNull() | ends["source_id"].eqNullSafe(chars["source_id"]))
+    return chars.unionByName(_spikes(ends.join(chars, same, "left_anti"), "bytes"))
 
 
 def judged(rows: DataFrame) -> DataFrame:
@@ -76,7 +85,7 @@ def judged(rows: DataFrame) -> DataFrame:
     rows = rows.select("id", "source_id", "raw_title", "raw_text", "raw_html")
     values = spark.sql(_VALUES, rows=rows)
     ends = written(spark.sql(_ENDS, values=values), "ends")
-    limits = _limits(spark, ends)
+    limits = _limits(ends)
     # Suspicious: no closed end, so the words decide.
     loose = spark.sql("select distinct xxhash64(w1, w2) as pair from {ends} where not closed and field_name <> 'raw_html' and w1 is not null", ends=ends)
     loose = written(loose, "pairs")
