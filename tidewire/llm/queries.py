@@ -5,12 +5,25 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidewire.llm import boilerplate, leakage, sql, truncation
+from tidewire.llm import boilerplate, leakage, mixing, reading, sql, topics, truncation
 from tidewire.llm.lines import RepeatedLines
 from tidewire.llm.pairs import pair_counts
 from tidewire.session import table
 
 
+def p3_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    articles = table(spark, sf_dir, "processed_articles")
+    fitted = topics.assign(articles, table(spark, sf_dir, "topic_labels"), table(spark, sf_dir, "topic_names"))
+    return fitted.posteriors(articles).select("processed_article_id", "topic").distinct()
+
+
+def p3_shares(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The corpus by subject area: articles and mean share of the text."""
+    articles = table(spark, sf_dir, "processed_articles")
+    fitted = topics.assign(articles, table(spark, sf_dir, "topic_labels"), table(spark, sf_dir, "topic_names"))
+    return fitted.posteriors(articles).groupBy("topic").agg(F.count("*").alias("articles"), F.avg("share").alias("mean_share"), F.avg("posterior").alias("mean_posterior"))
+
+
 def p4_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Pairs of entities with counts, lift and corrected odds ratio."""
     return pair_counts(table(spark, sf_dir, "article_entities"), "processed_article_id", "entity_id")
@@ -61,6 +74,25 @@ def p8_items(spark: SparkSession, sf_dir: str) -> DataFrame:
     return leakage.leaked_items(table(spark, sf_dir, "documents"), table(spark, sf_dir, "eval_items"))
 
 
+def p9_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The mixed records, one row a copy."""
+    return mixing.Mix(table(spark, sf_dir, "documents"), table(spark, sf_dir, "mix_targets")).records()
+
+
+def p9_shares(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Target and actual share of each source."""
+    return mixing.Mix(table(spark, sf_dir, "documents"), table(spark, sf_dir, "mix_targets")).report()
+
+
+def p10_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return reading.assign(table(spark, sf_dir, "documents"), table(spark, sf_dir, "reading_labels"))
+
+
+def p10_profile(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents by reading level."""
+    return reading.profile(table(spark, sf_dir, "documents"), table(spark, sf_dir, "reading_labels"))
+
+
 def queries() -> dict:
     return {name: fn for name, fn in globals().items() if name.startswith("p") and name[1:2].isdigit()}
 
