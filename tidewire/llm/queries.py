@@ -5,12 +5,21 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidewire.llm import boilerplate, leakage, mixing, reading, sql, topics, truncation
+from tidewire.llm import boilerplate, leakage, mixing, names, reading, sql, topics, truncation
 from tidewire.llm.lines import RepeatedLines
 from tidewire.llm.pairs import pair_counts
 from tidewire.session import table
 
 
+def p1_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return names.linked_pairs(table(spark, sf_dir, "entities"), table(spark, sf_dir, "entity_aliases"))
+
+
+def p1_entities(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Rows of both tables with the number of their entity."""
+    return names.resolve(names.spellings(table(spark, sf_dir, "entities"), table(spark, sf_dir, "entity_aliases")))
+
+
 def p3_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     articles = table(spark, sf_dir, "processed_articles")
     fitted = topics.assign(articles, table(spark, sf_dir, "topic_labels"), table(spark, sf_dir, "topic_names"))
