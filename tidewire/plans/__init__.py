@@ -2,11 +2,11 @@
 
 from __future__ import annotations
 
-from tidewire.plans import activity, timestamps
+from tidewire.plans import activity, changes, entities, texts, timestamps
 
 
 def _modules():
-    return (activity, timestamps)
+    return (activity, entities, texts, changes, timestamps)
 
 
 def core_queries() -> dict:
