@@ -119,7 +119,7 @@ def strip_code_fence(text: Column) -> Column:
 
 
 def split_list(text: Column) -> Column:
-    return F.filter(F.transform(F.split(F.coalesce(text, F.lit("")), ","), F.trim), lambda x: x != "")
+    return F.filter(F.transform(F.split(F.coalesce(text, F.lit("")), ","), lambda x: F.trim(x)), lambda x: x != "")
 
 
 _EMOJI = r"[\x{1F000}-\x{1FAFF}\x{2600}-\x{27BF}]"

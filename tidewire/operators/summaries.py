@@ -7,6 +7,7 @@ from collections.abc import Callable, Iterator
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from tidewire.functions.replies import parse_summary
 from tidewire.functions.timeutil import local_hour
@@ -37,7 +38,7 @@ def prompts(posts: DataFrame, ts: str, tz: str, title: str, text: str, source: s
 
 def complete(rows: DataFrame, client: Callable[[str], str], prompt: str = "prompt") -> DataFrame:
     """Adds ``reply`` (null where the client fails): one call a row, in the tasks; limit them by the number of partitions."""
-    schema = rows.schema.add("reply", "string")
+    schema = T.StructType([*rows.schema.fields, T.StructField("reply", T.StringType())])
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:

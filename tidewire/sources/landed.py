@@ -27,7 +27,7 @@ def feed_items(spark: SparkSession, path: str, full_text_tag: str = "full_text",
     rows = raw.select("*", at.alias("file"), F.monotonically_increasing_id().alias("position"))
     section = section_of(F.col("file")) if section_of else F.lit("main")
     return rows.select(
-        F.element_at(F.filter(F.transform("link", F.trim), lambda x: x != ""), 1).alias("url"),
+        F.element_at(F.filter(F.transform("link", lambda x: F.trim(x)), lambda x: x != ""), 1).alias("url"),
         F.trim("title").alias("title"),
         F.col("description").alias("summary"),
         F.col(full_text_tag).alias("full_text"),
