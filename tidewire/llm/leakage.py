@@ -50,7 +50,8 @@ def tokens(text: str) -> list[str]:
         text = BROKEN.sub("", text)
     if not unicodedata.is_normalized("NFKC", text) or INVISIBLE.search(text):
         text = INVISIBLE.sub("", unicodedata.normalize("NFKC", text))
-    out = WORD.findall(text.lower().replace("ё", "е"))
+    text = text.lower().replace("ё", "е")
+    out = WORD.findall(text)
     if LATIN.search(text):
         out = [t.translate(LOOKALIKE) if not t.isascii() and LATIN.search(t) and CYR.search(t) else t for t in out]
     return out

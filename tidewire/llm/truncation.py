@@ -5,7 +5,7 @@ trigram of each value is joined to the counts, and a value is flagged where its
 inside but almost never terminal, or where its last word is only the beginning of the words that follow
 the two before it. Beside that, the lengths of each source's values (in characters and in bytes, raw_html
 included) are histogrammed: a length whose distinct values far outnumber its neighbours' is a limit, and a value of that length
-is cut unless it shows a natural end. raw_html is cut if it ends inside a tag or leaves open more than its
+is cut unless it shows a natural end (a text with a closed end only at a length of twenty values or more). raw_html is cut if it ends inside a tag or leaves open more than its
 source's pages do. A replacement character at the end is half a character.
 
 Defined results: null and blank values are no cases; values of fewer than three words are judged by length
@@ -137,7 +137,7 @@ select distinct e.id, e.source_id, e.field_name,
     when e.field_name = 'raw_html' then e.tag_open or e.opens > coalesce(u.opens, 0)
     when l.at_limit is not null and e.field_name = 'raw_title' then
       case when s.marked then e.mark <> '' else not (coalesce(g.n_end, 0) >= 2 and coalesce(g.n_end, 0) >= 0.3 * g.n_same) end
-    when l.at_limit is not null then s.marked is not true or e.mark <> '' or not e.closed
+    when l.at_limit is not null then e.mark <> '' or not e.closed or (s.marked is not true and l.at_limit >= 20)
     when e.closed or g.id is null or e.mark = '…' and e.field_name = 'raw_title' then false
     when g.n_longer >= 3 and g.n_same < 0.05 * g.n_longer then true
     when g.n_same >= 10 and g.n_end < 0.01 * g.n_same and e.field_name = 'raw_text' then true
