@@ -109,9 +109,10 @@ def test_extraction_goes_on_after_a_failure(spark):
 def test_summaries_with_a_stub(spark):
     posts = spark.createDataFrame([(f"2026-01-01 10:0{i}:00", f"t{i}", "текст", i % 2) for i in range(4)] + [("2026-01-01 12:00:00", "x", "y", 1)], "at string, title string, text string, source int").withColumn("at", F.col("at").cast("timestamp_ntz"))
     client = lambda p: '{"topics":["a","b"],"summary":"%d"}' % p.count("[")
-    got = summaries.summarise(posts, client, "at", "UTC", "title", "text", "source").collect()
+    out = summaries.summarise(posts, client, "at", "UTC", "title", "text", "source")
+    got = out.collect()
     assert len(got) == 1 and got[0]["articles_count"] == 4 and got[0]["sources_count"] == 2 and got[0]["content"]["summary"] == "8"
-    day = summaries.daily_rollup(spark.createDataFrame(got)).collect()
+    day = summaries.daily_rollup(out).collect()
     assert day[0]["text"] == "10:00: 8 (a, b)"
     assert [summaries.brief_hours(h) for h in (None, 0, 24, 999)] == [6, 1, 24, 168]
 
