@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import os
+import shutil
 import tempfile
 import uuid
 
@@ -48,3 +49,18 @@ def written(df: DataFrame, name: str) -> DataFrame:
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+
+
+def ship(spark: SparkSession) -> None:
+    """Sends the package to the executors' Python workers, once a session: they need it for the Arrow functions.
+
+    The archive is written beside the driver and served by Spark; nothing on an executor reads a local folder.
+    """
+    context = spark.sparkContext
+    if getattr(context, "_tidewire_shipped", False):
+        return
+    root = os.path.dirname(os.path.abspath(__file__))
+    folder = tempfile.mkdtemp(prefix="tidewire-ship-")
+    archive = shutil.make_archive(os.path.join(folder, "tidewire-package"), "zip", os.path.dirname(root), os.path.basename(root))
+    context.addPyFile(archive)
+    context._tidewire_shipped = True
