@@ -23,14 +23,14 @@ def p1_entities(spark: SparkSession, sf_dir: str) -> DataFrame:
 def p3_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     articles = table(spark, sf_dir, "processed_articles")
     fitted = topics.assign(articles, table(spark, sf_dir, "topic_labels"), table(spark, sf_dir, "topic_names"))
-    return fitted.posteriors(articles).select("processed_article_id", "topic").distinct()
+    return fitted.posteriors().select("processed_article_id", "topic").distinct()
 
 
 def p3_shares(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The corpus by subject area: articles and mean share of the text."""
     articles = table(spark, sf_dir, "processed_articles")
     fitted = topics.assign(articles, table(spark, sf_dir, "topic_labels"), table(spark, sf_dir, "topic_names"))
-    return fitted.posteriors(articles).groupBy("topic").agg(F.count("*").alias("articles"), F.avg("share").alias("mean_share"), F.avg("posterior").alias("mean_posterior"))
+    return fitted.posteriors().groupBy("topic").agg(F.count("*").alias("articles"), F.avg("share").alias("mean_share"), F.avg("posterior").alias("mean_posterior"))
 
 
 def p4_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -9,7 +9,7 @@ an area is assigned at a posterior of one half or more. Every document keeps at
 
 Fit on at most ``MAX_LABELLED`` labelled documents, chosen by hash; the EM rounds read every document. Each round is one
 map with in-task sums: what is shuffled is words x areas per task, so the rounds run on few large tasks
-(``EM_TASKS``), each streaming its texts.
+(``EM_TASKS``). Texts are split and coded into word numbers once, in a written table the rounds stream.
 
 Defined results: null or blank texts give no row; a text without known words gets the most frequent area; ties go
 to the first area by name; unknown areas in labels are ignored; repeated rows give one row; empty tables give none;
@@ -26,7 +26,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tidewire.llm.bayes import Model, bounded_sample, collect_model, complement_weights, sums_by_text, word_counts, words
+from tidewire.llm.bayes import Model, bounded_sample, collect_model, complement_weights, word_counts, words
+from tidewire.session import written
 
 MAX_LABELLED = 50_000
 EM_ROUNDS = 2
@@ -35,56 +36,75 @@ ALPHA = 0.5
 SENTENCE = re.compile(r"(?<=[.!?…])[»\")\]]*\s+|\n+")
 
 
-def sentences(text: str) -> list[list[str]]:
-    return [ws for ws in map(words, SENTENCE.split(text)) if ws]
+_READABLE = "id is not null and text is not null and trim(text) <> ''"
 
 
-def _posteriors(vocab: dict[str, int], weights: np.ndarray, texts: list[str]) -> tuple[list[list[str]], np.ndarray, np.ndarray, np.ndarray]:
-    """Sentences of a batch of texts: words, document number, posteriors, number of known words."""
-    parts = [sentences(t) for t in texts]
-    owner = np.repeat(np.arange(len(texts)), [len(p) for p in parts])
-    flat = [s for p in parts for s in p]
-    score, known = sums_by_text(vocab.get, weights, flat)
-    if len(flat):
-        score -= score.max(1, keepdims=True)
+CODED = "id bigint, w array<double>, sentences array<array<int>>"
+
+
+def _coder(shared):
+    """(id, w, text) to (id, w, sentences as word numbers): each text is split once, whatever the rounds."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        get = shared.value.get
+        for b in batches:
+            flat: list[int] = []
+            ends, outer = [0], [0]
+            for text in b.column(2).to_pylist():
+                for s in SENTENCE.split(text):
+                    flat.extend([x for x in map(get, words(s)) if x is not None])
+                    if len(flat) > ends[-1]:
+                        ends.append(len(flat))
+                outer.append(len(ends) - 1)
+            inner = pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(flat, pa.int32()))
+            coded = pa.ListArray.from_arrays(pa.array(outer, pa.int32()), inner)
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), coded], names=["id", "w", "sentences"])
+
+    return run
+
+
+def _posteriors(coded: pa.Array, weights: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Sentences of a batch of coded texts: word numbers, words in each, number of the document, posteriors."""
+    per_doc = coded.value_lengths().to_numpy(zero_copy_only=False)
+    inner = coded.flatten()
+    n = inner.value_lengths().to_numpy(zero_copy_only=False).astype(np.int64)
+    flat = inner.flatten().to_numpy(zero_copy_only=False)
+    owner = np.repeat(np.arange(len(per_doc)), per_doc.astype(np.int64))
+    if not len(n):
+        return flat, n, owner, np.zeros((0, weights.shape[1]))
+    score = np.add.reduceat(weights[flat], np.r_[0, np.cumsum(n)[:-1]], axis=0)  # no sentence is empty
+    score -= score.max(1, keepdims=True)
     q = np.exp(score)
-    return flat, owner, q / np.maximum(q.sum(1, keepdims=True), 1e-300), known
+    return flat, n, owner, q / q.sum(1, keepdims=True)
 
 
-def _shares(owner: np.ndarray, q: np.ndarray, known: np.ndarray, n: int) -> np.ndarray:
-    out = np.zeros((n, q.shape[1]))
-    np.add.at(out, owner, q * known[:, None])
+def _shares(owner: np.ndarray, q: np.ndarray, n: np.ndarray, docs: int) -> np.ndarray:
+    out = np.stack([np.bincount(owner, weights=q[:, j] * n, minlength=docs) for j in range(q.shape[1])], 1)
     return out / np.maximum(out.sum(1, keepdims=True), 1e-300)
 
 
-def _em_round(docs: DataFrame, model: Model, k: int) -> Model:
+def _em_round(coded: DataFrame, model: Model, k: int) -> Model:
     """One round over all documents: posteriors by the model, word counts weighted by them."""
-    spark = docs.sparkSession
-    shared = spark.sparkContext.broadcast((model.vocab, complement_weights(model.counts, ALPHA)))
+    shared = coded.sparkSession.sparkContext.broadcast(complement_weights(model.counts, ALPHA))
+    size = len(model.vocab)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        vocab, w = shared.value
-        sums = np.zeros((len(vocab), k))
+        w = shared.value
+        sums = np.zeros((size, k))
         for b in batches:
-            flat, owner, q, _ = _posteriors(vocab, w, b.column(0).to_pylist())
-            allowed = b.column(1).to_pylist()
-            mask = np.array([a if a is not None else [1.0] * k for a in allowed]).reshape(len(allowed), k)
+            flat, n, owner, q = _posteriors(b.column(1), w)
+            mask = np.array([a if a is not None else [1.0] * k for a in b.column(0).to_pylist()]).reshape(b.num_rows, k)
             q = q * mask[owner]
             q /= np.maximum(q.sum(1, keepdims=True), 1e-300)
-            at, row = [], []
-            for i, ws in enumerate(flat):
-                ids = [x for x in map(vocab.get, ws) if x is not None]
-                at += ids
-                row += [i] * len(ids)
-            at, row = np.array(at, np.int64), np.array(row, np.int64)
+            each = np.repeat(np.arange(len(n)), n)
             for j in range(k):
-                sums[:, j] += np.bincount(at, weights=q[row, j], minlength=len(vocab))
+                sums[:, j] += np.bincount(flat, weights=q[each, j], minlength=size)
         some = np.flatnonzero(sums.sum(1) > 0)
         yield pa.RecordBatch.from_arrays([pa.array(some, pa.int64()), *[pa.array(sums[some, j]) for j in range(k)]], names=["word", *[f"c{j}" for j in range(k)]])
 
     schema = "word bigint, " + ", ".join(f"c{j} double" for j in range(k))
-    tasks = docs.coalesce(EM_TASKS).mapInArrow(run, schema).groupBy("word").agg(*[F.sum(f"c{j}").alias(f"c{j}") for j in range(k)])
-    counts = np.zeros((len(model.vocab), k))
+    tasks = coded.select("w", "sentences").coalesce(EM_TASKS).mapInArrow(run, schema).groupBy("word").agg(*[F.sum(f"c{j}").alias(f"c{j}") for j in range(k)])
+    counts = np.zeros((size, k))
     for r in tasks.collect():  # at most MAX_VOCAB rows
         counts[r["word"]] = [r[f"c{j}"] for j in range(k)]
     return Model(model.vocab, counts)
@@ -112,64 +132,56 @@ class Topics:
 
     def __init__(self, articles: DataFrame, labels: DataFrame, names: list[str], rounds: int = EM_ROUNDS):
         self.names, k = sorted(names), len(names)
-        spark = articles.sparkSession
-        base = articles.selectExpr("cast(id as bigint) id", "text").filter("id is not null and text is not null")
+        self.spark = spark = articles.sparkSession
+        base = articles.selectExpr("cast(id as bigint) id", "text").filter(_READABLE)
         own = labels.selectExpr("cast(processed_article_id as bigint) id", "topic").filter(F.col("topic").isin(*self.names) & F.col("id").isNotNull())
         own = bounded_sample(own, "id", MAX_LABELLED).groupBy("id").agg(F.collect_set("topic").alias("topics"))
         allowed = own.select("id", F.array(*[F.array_contains("topics", t).cast("double") for t in self.names]).alias("w"))
         # At most MAX_LABELLED rows of an id and k numbers.
-        labelled = base.join(F.broadcast(allowed), "id")
-        even = F.transform("w", lambda x: x / F.aggregate("w", F.lit(0.0), lambda s, y: s + y))
-        first = collect_model(word_counts(labelled.select("text", even.alias("w")), k), k)
-        # Words of the unlabelled documents get their place too: EM gives them counts.
-        zeros = F.array(F.lit(1.0), *[F.lit(0.0)] * (k - 1))
-        every = collect_model(word_counts(base.select("text", zeros.alias("w")), k), k, least=3.0)
-        counts = np.zeros((len(every.vocab), k))
-        for w, i in first.vocab.items():
-            at = every.vocab.get(w)
-            if at is not None:
-                counts[at] = first.counts[i]
-        self.model = Model(every.vocab, counts)
-        docs = base.join(F.broadcast(allowed), "id", "left").select("text", "w")
-        if not first.vocab:
-            rounds = 0
-        for _ in range(rounds):
-            self.model = _em_round(docs, self.model, k)
-        self.weights = complement_weights(self.model.counts, ALPHA)
-        self.shared = spark.sparkContext.broadcast((self.model.vocab, self.weights))
-        self.trained = bool(first.vocab)
-        rows = labelled.select("id", "text", "w").mapInArrow(self._share_map(), "id bigint, w array<double>, share array<double>").toPandas() if self.trained else None
-        if rows is not None and len(rows):
-            self.slope, self.offset = _calibrate(np.stack(rows["share"].to_numpy()), np.stack(rows["w"].to_numpy()) > 0)
-            self.usual = int(np.stack(rows["w"].to_numpy()).sum(0).argmax())
-        else:
-            self.slope, self.offset, self.usual = 20.0, -5.0, 0
+        rows = base.join(F.broadcast(allowed), "id", "left")
+        total = F.aggregate("w", F.lit(0.0), lambda s, y: s + y)
+        # One count: the labelled documents' weights per area, and every word once more in the last column.
+        even = F.when(F.col("w").isNull(), F.array(*[F.lit(0.0)] * k)).otherwise(F.transform("w", lambda x: x / total))
+        every = collect_model(word_counts(rows.select("text", F.concat(even, F.array(F.lit(1.0))).alias("w")), k + 1), k + 1, least=3.0)
+        self.model = Model(every.vocab, every.counts[:, :k])
+        self.trained = bool(len(every.vocab)) and bool(self.model.counts.sum() > 0)
+        self.words = spark.sparkContext.broadcast(every.vocab)
+        self.coded = written(rows.select("id", "w", "text").mapInArrow(_coder(self.words), CODED), "coded") if self.trained else None
+        for _ in range(rounds if self.trained else 0):
+            self.model = _em_round(self.coded, self.model, k)
+        self.weights = spark.sparkContext.broadcast(complement_weights(self.model.counts, ALPHA))
+        self.slope, self.offset, self.usual = 20.0, -5.0, 0
+        if self.trained:
+            seen = self.coded.filter("w is not null").mapInArrow(self._share_map(), "w array<double>, share array<double>").toPandas()  # at most MAX_LABELLED rows
+            self.slope, self.offset = _calibrate(np.stack(seen["share"].to_numpy()), np.stack(seen["w"].to_numpy()) > 0)
+            self.usual = int(np.stack(seen["w"].to_numpy()).sum(0).argmax())
 
     def _share_map(self):
-        shared = self.shared
+        shared = self.weights
 
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            vocab, w = shared.value
             for b in batches:
-                _, owner, q, known = _posteriors(vocab, w, b.column(1).to_pylist())
-                share = _shares(owner, q, known, b.num_rows)
-                yield pa.RecordBatch.from_arrays([b.column(0), b.column(2).cast(pa.list_(pa.float64())), pa.array(share.tolist(), pa.list_(pa.float64()))], names=["id", "w", "share"])
+                _, n, owner, q = _posteriors(b.column(2), shared.value)
+                share = _shares(owner, q, n, b.num_rows)
+                yield pa.RecordBatch.from_arrays([b.column(1), pa.array(share.tolist(), pa.list_(pa.float64()))], names=["w", "share"])
 
         return run
 
-    def posteriors(self, articles: DataFrame) -> DataFrame:
-        """(processed_article_id, topic, share, posterior): the assigned areas of each article."""
+    def posteriors(self, articles: DataFrame | None = None) -> DataFrame:
+        """(processed_article_id, topic, share, posterior): the assigned areas of the documents fitted on, or of others."""
         schema = "processed_article_id bigint, topic string, share double, posterior double"
-        docs = articles.selectExpr("cast(id as bigint) id", "text").filter("id is not null and text is not null and trim(text) <> ''")
         if not self.trained:
-            return articles.sparkSession.createDataFrame([], schema)
-        shared, names, slope, offset, usual = self.shared, self.names, self.slope, self.offset, self.usual
+            return self.spark.createDataFrame([], schema)
+        coded = self.coded
+        if articles is not None:
+            rows = articles.selectExpr("cast(id as bigint) id", "cast(null as array<double>) w", "text").filter(_READABLE)
+            coded = rows.mapInArrow(_coder(self.words), CODED)
+        shared, names, slope, offset, usual = self.weights, self.names, self.slope, self.offset, self.usual
 
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            vocab, w = shared.value
             for b in batches:
-                _, owner, q, known = _posteriors(vocab, w, b.column(1).to_pylist())
-                share = _shares(owner, q, known, b.num_rows)
+                _, n, owner, q = _posteriors(b.column(1), shared.value)
+                share = _shares(owner, q, n, b.num_rows)
                 p = 1 / (1 + np.exp(-np.clip(slope * share + offset, -35, 35)))
                 yes = p >= 0.5
                 top = np.where(share.max(1) > 0, share.argmax(1), usual) if b.num_rows else np.zeros(0, int)
@@ -180,7 +192,7 @@ class Topics:
                     names=["processed_article_id", "topic", "share", "posterior"],
                 )
 
-        return docs.mapInArrow(run, schema)
+        return coded.select("id", "sentences").mapInArrow(run, schema)
 
 
 def assign(articles: DataFrame, labels: DataFrame, topic_names: DataFrame) -> Topics:
