@@ -158,9 +158,8 @@ def vector_dot(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The built-in engine over all processed articles with the shared entities' names: mentions per entity."""
-    e = table(spark, sf_dir, "entities").filter("id <= 60").select("normalized_name", "type")  # the fixed shared entities
-    names = {r[0]: r[1] for r in e.collect()}
+    """The built-in engine over all processed articles with the names of all sources (a fixed table): mentions per name."""
+    names = {r[0]: "organization" for r in table(spark, sf_dir, "sources").select("name").collect()}
     articles = table(spark, sf_dir, "processed_articles").select("id", "title", "text")
     found = extract.extract(articles, "gazetteer", names=names).filter("error is null")
     return found.groupBy("normalized_name", "entity_type").agg(F.count("*").alias("mentions"), F.count_distinct("article_id").alias("articles"))
