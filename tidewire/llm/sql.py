@@ -16,4 +16,11 @@ n as (select source_id, count(distinct id) n from raw_articles where source_id i
 c as (select source_id, k, count(distinct id) c from k where k <> '' group by 1, 2)
 select k.id as raw_article_id, cast(k.line_no as integer) as line_no from k join c using (source_id, k) join n using (source_id)
 where c >= 5 and c >= 0.1 * n""",
+    "p7_texts": r"""
+with t as (select id, source_id, unnest(string_split(raw_text, chr(10))) line, generate_subscripts(string_split(raw_text, chr(10)), 1) line_no from raw_articles where raw_text is not null),
+k as (select *, lower(regexp_replace(line, '\P{L}+', '', 'g')) k from t),
+n as (select source_id, count(distinct id) n from raw_articles where source_id is not null group by 1),
+c as (select k.source_id, k, true as hit from k join n using (source_id) where k <> '' group by k.source_id, k, n having count(distinct id) >= 5 and count(distinct id) >= 0.1 * n),
+x as (select k.id, coalesce(string_agg(line, chr(10) order by line_no) filter (hit is null), '') as text from k left join c on c.source_id = k.source_id and c.k = k.k group by k.id)
+select r.id, x.text from raw_articles r left join x using (id)""",
 }
