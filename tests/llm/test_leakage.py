@@ -65,3 +65,37 @@ def test_masks_reach_two_slips():
         touched = {s + o for m in L.MASKS for s in range(12 - m[-1]) if all(fine[s + x] for x in m) for o in m}
         assert len(touched) >= L.MIN_TOUCHED
     assert L.near("славилась", "слвилась") and not L.near("1623", "1624") and not L.near("дом", "том")
+
+
+def _altered(words, changes):
+    """``words`` with a slip in or a split of the words at, or the space lost after, the given places."""
+    words, lost = list(words), set()
+    for kind, at in changes:
+        w = words[at]
+        if kind == "join":
+            lost.add(at)
+        else:
+            words[at] = w[:3] + "щ" + w[4:] if kind == "slip" else f"{w[:4]} {w[4:]}"
+    return "".join(w + ("" if i in lost else " ") for i, w in enumerate(words)).strip()
+
+
+def test_three_alterations_anywhere():
+    from itertools import combinations
+
+    import pyarrow as pa
+
+    rng = random.Random(8)
+    words = ["".join(rng.sample("абвгдежзиклмнопрст", 8)) for _ in range(30)]
+    short = [w if i % 3 else w[:2] for i, w in enumerate(words)]  # a short word joined to a long one looks like a slip
+    for item in (words, short):
+        part = item[9:21]
+        places = [(k, i) for i in range(12) for k in ("slip", "join", "split") if (i < 11 if k == "join" else len(part[i]) > 2)]
+        cases = [c for n in range(4) for c in combinations(places, n) if len({i for k, i in c if k != "join"}) == sum(k != "join" for k, _ in c)]
+        # Spaces that moved count where nothing else changed beside them.
+        cases = [c for c in cases if not (any(k == "slip" for k, _ in c) and any(k == "split" and ("join", i + d) in c for k, i in c for d in (-1, 0)))]
+        texts = [f"чужое начало {_altered(part, c)} чужой конец" for c in cases]
+        run = L._matcher([(1, " ".join(item))], 12, 0.9)
+        got = set()
+        for b in run(iter([pa.RecordBatch.from_arrays([pa.array(range(len(texts)), pa.int64()), pa.array(texts)], names=["doc_id", "text"])])):
+            got |= set(b.column(0).to_pylist())
+        assert [c for n, c in enumerate(cases) if n not in got] == []

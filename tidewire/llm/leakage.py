@@ -6,6 +6,11 @@ are joined to those of every window of every document (by sorted lookup); around
 verified word by word, where a word may carry a slip (a small edit), be split or joined. Another word in a
 word's place ends a run: template-like test items differ by just such words.
 
+Reach: j joins and o slips or splits leave at least 12 - 2j - o words of twelve as they were, in at most j + o + 1
+groups. While 3j + 2o < 11 some group holds two words, and the mask of two neighbours hits: three alterations of any
+kind, and five slips or splits, wherever they lie. No pair of a document and an item is dropped unverified, but for
+hits beside which no third word can match (``_extends``): a run of two words counts for nothing.
+
 A document contains an item if an overlap covers at least ``min_words`` consecutive words of it, or its
 overlaps together cover its whole text (``min_cover`` of its words), in any sentence order.
 
@@ -16,7 +21,7 @@ Scale: one map over the documents, no shuffle of texts. The items are a stated q
 blocks of at most ``BLOCK_TOKENS`` tokens, each block one pass, so their number is not limited by memory. A document
 is read whole whatever its length; a document copied a million times is a million independent rows.
 
-Defined results: null or empty texts and items give no row; an item shorter than the masks' weight gives
+Defined results: null or empty texts and items give no row; an item of fewer than three words gives
 none; repeated documents of one id give one row; ties do not arise; extra columns are ignored.
 """
 
@@ -32,10 +37,13 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 BLOCK_TOKENS = 1_000_000
-#: Offsets each mask looks at. With any two words of twelve altered, at least one mask still hits.
-MASKS = ((0, 1, 2, 3), (0, 1, 3, 4), (0, 2, 3, 5), (0, 1, 4, 5), (0, 2, 4, 6))
-OFFSETS = np.array(MASKS)
-MIN_TOUCHED, MIN_LANE = 8, 5
+#: Offsets each mask looks at: two neighbours, or every other word of seven.
+MASKS = ((0, 1), (0, 2, 4, 6))
+WEIGHTS = np.array([len(m) for m in MASKS])
+#: Words that may be joined into one, or parts that one may be split into.
+PIECES = 4
+#: Hits that touch no more words than this need a third one beside them.
+MIN_TOUCHED = 2
 WORD = re.compile(r"[^\W_]+")
 # Latin letters that look like Cyrillic ones.
 LOOKALIKE = str.maketrans("aceopxyëkmtbhu", "асеорхуекмтвни")
@@ -94,32 +102,71 @@ def near(a: str, b: str) -> bool:
     return row[m] <= limit
 
 
-def _walk(item: list[str], doc: list[str], i: int, j: int, step: int) -> list[int]:
-    """Item positions that match going on from (i, j), both excluded, in one direction."""
-    out: list[int] = []
-    n, m = len(item), len(doc)
+def _steps(item: list[str], doc: list[str], i: int, j: int, step: int) -> list[tuple[int, int]]:
+    """(words of the item, words of the document) that match from (i, j) on, both included: one and one, joined, split, or with spaces moved."""
+    a, b = item[i], doc[j]
+    out = [(1, 1)] if near(a, b) else []
+    if len(b) > len(a):  # joined in the document?
+        k = 1
+        while k < PIECES and len(a) < len(b) + 2 and 0 <= i + step * k < len(item):
+            c = item[i + step * k]
+            a = a + c if step > 0 else c + a
+            k += 1
+            if -3 < len(a) - len(b) < 3 and near(a, b):
+                out.append((k, 1))
+    elif len(a) > len(b):  # split in the document?
+        k = 1
+        while k < PIECES and len(b) < len(a) + 2 and 0 <= j + step * k < len(doc):
+            c = doc[j + step * k]
+            b = b + c if step > 0 else c + b
+            k += 1
+            if -3 < len(a) - len(b) < 3 and near(a, b):
+                out.append((1, k))
+    # Spaces moved: several words each, equal letter by letter.
+    a, b, x, y = item[i], doc[j], 1, 1
+    while len(a) != len(b) and ((a.startswith(b) or b.startswith(a)) if step > 0 else (a.endswith(b) or b.endswith(a))):
+        if len(a) < len(b):
+            if x == PIECES or not 0 <= i + step * x < len(item):
+                break
+            c = item[i + step * x]
+            a, x = (a + c if step > 0 else c + a), x + 1
+        else:
+            if y == PIECES or not 0 <= j + step * y < len(doc):
+                break
+            c = doc[j + step * y]
+            b, y = (b + c if step > 0 else c + b), y + 1
+    if x > 1 < y and a == b:
+        out.append((x, y))
+    return out
+
+
+def _walk(item: list[str], doc: list[str], i: int, j: int, step: int) -> tuple[int, list[tuple[int, int]]]:
+    """How many words of the item match going on from (i, j), both included, in one direction, and the places passed.
+    Where a word can be read in several ways (a slip, or joined with a short one), each is tried."""
+    n, m, start, best = len(item), len(doc), i, 0
+    seen: list[tuple[int, int]] = []
+    known: set[tuple[int, int]] = set()
+    todo: list[tuple[int, int]] = []
     while True:
-        i += step
-        j += step
-        if not (0 <= i < n and 0 <= j < m):
-            return out
-        a, b = item[i], doc[j]
-        if a == b or near(a, b):
-            out.append(i)
-            continue
-        if len(b) > len(a) and 0 <= i + step < n:  # joined in the document?
-            c = item[i + step]
-            if -3 < len(a) + len(c) - len(b) < 3 and near(a + c if step > 0 else c + a, b):
-                out += [i, i + step]
-                i += step
-                continue
-        elif len(a) > len(b) and 0 <= j + step < m:  # split in the document?
-            c = doc[j + step]
-            if -3 < len(b) + len(c) - len(a) < 3 and near(a, b + c if step > 0 else c + b):
-                out.append(i)
-                j += step
+        while 0 <= i < n and 0 <= j < m:
+            seen.append((i, j))
+            if item[i] == doc[j]:
+                i, j = i + step, j + step
                 continue
-        return out
+            ways = _steps(item, doc, i, j, step)
+            if not ways:
+                break
+            for x, y in ways[1:]:
+                to = (i + step * x, j + step * y)
+                if to not in known:
+                    known.add(to)
+                    todo.append(to)
+            x, y = ways[0]
+            i, j = i + step * x, j + step * y
+        best = max(best, (i - start) * step)
+        if not todo:
+            return best, seen
+        i, j = todo.pop()
 
 
 def verify(item: list[str], doc: list[str], hits: list[tuple[int, int]], min_words: int, min_cover: float) -> bool:
@@ -128,20 +175,40 @@ def verify(item: list[str], doc: list[str], hits: list[tuple[int, int]], min_wor
     for i, j in hits:
         if (i, j) in done:
             continue
-        right = _walk(item, doc, i - 1, j - 1, 1)
-        left = _walk(item, doc, i, j, -1)
-        for k in range(len(right)):  # hits this run explains need no second look
-            done.add((i + k, j + k))
-        run = set(right) | set(left)
-        if len(run) >= min_words:
+        right, seen = _walk(item, doc, i, j, 1)
+        left, _ = _walk(item, doc, i - 1, j - 1, -1)
+        done.update(seen)  # hits this run explains need no second look
+        if left + right >= min_words:
             return True
-        if len(run) >= 3:
-            covered |= run
+        if left + right >= 3:
+            covered.update(range(i - left, i + right))
             if len(covered) >= min_cover * len(item):
                 return True
     return False
 
 
+#: Lengths that stand between texts: no word is near one.
+OFF_ITEM, OFF_DOC = 1 << 20, 1 << 24
+
+
+def _shape(words: list[str]) -> tuple[np.ndarray, np.ndarray]:
+    """Lengths of words, and sets of their letters as bits."""
+    bits = []
+    for w in words:
+        x = 0
+        for c in w:
+            x |= 1 << (ord(c) & 63)
+        bits.append(x)
+    return np.array([len(w) for w in words], np.int64), np.array(bits, np.uint64)
+
+
+def _alike(la: np.ndarray, xa: np.ndarray, lb: np.ndarray, xb: np.ndarray) -> np.ndarray:
+    """Whether words of these lengths and letters can be near (``near`` is stricter): an edit changes a length by one and two letters."""
+    short = np.minimum(la, lb)
+    limit = np.where(short < 9, 1, 2)
+    return (la == lb) & (xa == xb) | (short >= 4) & (np.abs(la - lb) <= limit) & (np.bitwise_count(xa ^ xb) <= 2 * limit)
+
+
 class Seeds:
     """The seed index of one block of items."""
 
@@ -165,6 +232,16 @@ class Seeds:
             h = np.concatenate(hashes) if hashes else np.zeros(0, np.uint64)
             order = np.argsort(h, kind="stable")
             self.index.append((h[order], np.concatenate(owners)[order] if hashes else h, np.concatenate(places)[order] if hashes else h))
+        # All items in a row, with room between them.
+        self.begins, flat, end = {}, [], 0
+        for k, arr in ids.items():
+            self.begins[k] = end + PIECES + 2
+            end = self.begins[k] + len(arr)
+            flat += [np.full(PIECES + 2, -1), arr - 1]
+        self.flat = np.concatenate([*flat, np.full(PIECES + 2, -1)])
+        length, letters = _shape([*words, ""])
+        length[-1] = OFF_ITEM
+        self.length, self.letters = length[self.flat], letters[self.flat]
 
     def _hash(self, arr: np.ndarray, n: int) -> tuple[np.ndarray, np.ndarray]:
         """Hashes of the windows whose looked-at words are all known, and where they begin."""
@@ -199,43 +276,55 @@ class Seeds:
         return np.concatenate(out) if out else np.zeros((0, 4), np.int64)
 
 
-GAP = [0] * 8
+#: Words of no text between documents: as many as a mask or the words beside a hit reach over.
+GAP = 8
+
+
+def _extends(seeds: Seeds, at: np.ndarray, place: np.ndarray, known: np.ndarray, length: np.ndarray, letters: np.ndarray) -> np.ndarray:
+    """Whether beside a hit of two words (at ``at`` of the items in a row, at ``place`` of the documents in a row) a third can match."""
+    out = np.zeros(len(at), bool)
+    for i, j, step in ((at + 2, place + 2, 1), (at - 1, place - 1, -1)):
+        la, xa, lb, xb = seeds.length[i], seeds.letters[i], length[j], letters[j]
+        out |= (seeds.flat[i] + 1 == known[j]) & (known[j] > 0)
+        out |= _alike(la, xa, lb, xb)
+        joined, split = [(la, xa)], [(lb, xb)]
+        for k in range(1, PIECES):
+            joined.append((joined[-1][0] + seeds.length[i + step * k], joined[-1][1] | seeds.letters[i + step * k]))
+            split.append((split[-1][0] + length[j + step * k], split[-1][1] | letters[j + step * k]))
+            out |= _alike(*joined[-1], lb, xb) | _alike(la, xa, *split[-1])
+        for lj, xj in joined[1:]:
+            for ls, xs in split[1:]:
+                out |= (lj == ls) & (xj == xs)
+    return out
 
 
 def _matcher(items: list[tuple[int, str]], min_words: int, min_cover: float) -> Callable:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seeds = Seeds(items)
-        get = seeds.vocab.get
         for b in batches:
-            docs, found, flat, starts, words = [], [], [], [], []
+            docs, found, flat, starts, words = [], [], [-1] * GAP, [], []
             ids = b.column(0).to_pylist()
+            number: dict[str, int] = {}
             for text in b.column(1).to_pylist():
                 ts = tokens(text)
                 words.append(ts)
                 starts.append(len(flat))
-                flat.extend([get(w, 0) for w in ts])
-                flat.extend(GAP)
-            hits = seeds.hits(np.array(flat, np.int64))
+                flat.extend([number.setdefault(w, len(number)) for w in ts])
+                flat.extend([-1] * GAP)
+            nos = np.array(flat, np.int64)
+            known = np.array([*(seeds.vocab.get(w, 0) for w in number), 0], np.int64)[nos]
+            hits = seeds.hits(known)
+            if len(hits):
+                length, letters = _shape([*number, ""])
+                length[-1] = OFF_DOC
+                owners, own = np.unique(hits[:, 1], return_inverse=True)
+                at = np.array([seeds.begins[k] for k in owners.tolist()])[own.ravel()] + hits[:, 2]
+                hits = hits[(WEIGHTS[hits[:, 3]] > MIN_TOUCHED) | _extends(seeds, at, hits[:, 0], known, length[nos], letters[nos])]
             if len(hits):
                 starts = np.array(starts)
                 row = np.searchsorted(starts, hits[:, 0], "right") - 1
                 place = hits[:, 0] - starts[row]
-                # Words of the item that the seeds of a pair touch. An overlap of twelve words touches nine, however two slips lie,
-                # and five on one diagonal even where a word is split or joined beside a slip: other pairs hold no overlap.
-                spread = (OFFSETS[hits[:, 3]] + hits[:, 2, None]).ravel()
-                _, pair = np.unique(np.stack([row, hits[:, 1]], 1), axis=0, return_inverse=True)
-                pair = pair.ravel()
-                lane = pair * (1 << 32) + (place - hits[:, 2]) % (1 << 32)
-                _, lane_no = np.unique(lane, return_inverse=True)
-                touched = np.unique(np.repeat(pair, 4) * (1 << 24) + spread) >> 24
-                on_lane = np.unique(np.repeat(lane_no, 4) * (1 << 24) + spread) >> 24
-                lanes = np.bincount(on_lane, minlength=lane_no.max() + 1)
-                most = np.zeros(pair.max() + 1, np.int64)
-                np.maximum.at(most, pair, lanes[lane_no])
-                keep = ((np.bincount(touched, minlength=pair.max() + 1) >= MIN_TOUCHED) & (most >= MIN_LANE))[pair]
-                per = np.unique(np.stack([row, hits[:, 1], hits[:, 2], place], 1)[keep], axis=0)
-                if not len(per):
-                    continue
+                per = np.unique(np.stack([row, hits[:, 1], hits[:, 2], place], 1), axis=0)
                 edge = np.flatnonzero(np.r_[True, (per[1:, :2] != per[:-1, :2]).any(1), True])
                 for lo, hi in zip(edge[:-1], edge[1:]):
                     r, item = int(per[lo, 0]), int(per[lo, 1])
