@@ -65,3 +65,12 @@ def test_cut_values_are_found(spark):
 
 def test_no_values(spark):
     assert T.cut_values(spark.createDataFrame([], RAW)).count() == 0
+
+
+def test_lines_made_of_links():
+    from tidewire.llm import boilerplate as B
+
+    line = "Завод в долине открыл новый цех, а мост через пролив закрыли на ремонт до весны."
+    links = B.anchors("<a href='/1'>Завод в долине открыл новый цех</a>, а <a href='/2'>мост через пролив закрыли</a> на ремонт до весны. <a>а</a>")
+    assert B.first_pass(line, set()) == B.GOOD and B.first_pass(line, links) == B.BAD
+    assert B.first_pass(line, {"мост", "доли"}) == B.GOOD and 0.7 < B.link_share(B._plain(line), links) < 0.8

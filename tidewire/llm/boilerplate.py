@@ -2,13 +2,15 @@
 
 Method: each line of raw_text is a block. Pass one classifies blocks by stop-word density, length, link
 density (the share of the line that stands in anchors of raw_html, where that has any) and closing
-punctuation into good, bad and ambiguous (short). Pass two lets ambiguous blocks inherit the label of their
-nearest decided neighbour, closes the body at the first list heading after it (related links, tags,
-comments) and drops good blocks that stand apart from the body's own run. The headline is found by the title.
+punctuation into good, bad and ambiguous (short). Pass two keeps an ambiguous block if the decided block before or
+after it is good (not only the nearer one: a body's short first and last paragraphs stand beside furniture), closes the
+body at the first list heading after it (related links, tags, comments) and drops good blocks that stand apart from the
+body's own run. The headline is found by the title.
 
 Defined results: rows without raw_html or raw_text give no lines; an empty text has the one empty line,
 which belongs to no body; repeated rows give equal results once; pages and lines of any length are
-processed whole; extra columns are ignored. Pages without any good block keep only the headline.
+processed whole; extra columns are ignored. Pages with bad blocks but no good one keep only the headline; where
+no block is decided, the short ones are body.
 
 Scale: a pure map over rows (Arrow batches), no shuffle; raw_html is only scanned for its anchors.
 """
@@ -77,12 +79,20 @@ def anchors(page: str) -> set[str]:
     return {_plain(html.unescape(TAG.sub(" ", x))) for x in ANCHOR.findall(page)} if "<a" in page or "<A" in page else set()
 
 
+def link_share(plain: str, links: set[str]) -> float:
+    """The share of a line's letters that stand in anchors."""
+    rest = plain
+    for x in sorted((x for x in links if len(x) > 2 and x in plain), key=len, reverse=True):
+        rest = re.sub(rf"(?<!\w){re.escape(x)}(?!\w)", " ", rest)
+    return 1 - len(_letters(rest)) / max(len(_letters(plain)), 1) if rest != plain else 0.0
+
+
 def first_pass(line: str, links: set[str], min_words: int = 9, stop_low: float = 0.06) -> int:
     plain = _plain(line)
     if not plain:
         return BAD
     words = WORD.findall(plain)
-    if len(words) < 2 or plain in links:
+    if len(words) < 2 or plain in links or link_share(plain, links) > 0.5:
         return BAD
     if FURNITURE.search(line) or FURNITURE_ANY.search(line) or NICK.search(line) or (len(words) < 16 and CRUMBS.search(line)):
         return BAD
@@ -139,7 +149,8 @@ def main_lines(text: str, page: str, title: str | None) -> list[bool]:
             if tagged or not WORD.search(rest):
                 end = i
                 break
-    # Pass two: a short block takes the label of its nearest decided neighbour; the earlier one on a tie.
+    # Pass two: a short block is body if the decided block before or after it is good: a body's first and last paragraphs
+    # stand beside furniture. Where nothing is decided, it is body too.
     out = [False] * len(lines)
     for i in range(start, end):
         if label[i] == SHORT:
