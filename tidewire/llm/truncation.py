@@ -47,31 +47,31 @@ from (select id, source_id, raw_html is not null as page, stack(3, 'raw_title',
 where id is not null and value is not null and trim(value) <> ''
 """
 
-#: Words, sentence ends, brackets and symbols; tags in raw_html, with '<t' for the text between two. A mark at the end is no word.
+#: Words, sentence ends, brackets and symbols, digits alike; in raw_html tags, and '>' where text follows one. A mark at the end is no word.
 _TOKENS = r"""
-select *, if(field_name = 'raw_html',
-  filter(transform(regexp_extract_all(value, '<[^>]*>?|[^<]+', 0),
-    x -> case when startswith(x, '<') then concat(lower(regexp_extract(x, '^</?[a-zA-Z0-9!-]*', 0)), if(endswith(x, '>'), '>', '')) when trim(x) <> '' then '<t' end), x -> x is not null),
-  regexp_extract_all(regexp_replace(regexp_replace(lower(value), '\\p{{N}}+', '0'), '[\\s\\x{{FFFD}}]*(?:(?:\\.\\.+|…|\\[(?:\\.\\.\\.|…|truncated)\\])[\\s\\x{{FFFD}}]*)*$', ''), '[#$@]?[\\p{{L}}\\p{{N}}]+|[.!?…\\n()»"”:;,]|\\p{{So}}', 0)) as words
-from {values}
+select *, if(field_name = 'raw_html', regexp_extract_all(value, '</?[a-zA-Z0-9!-]+|>(?=\\s*[^<\\s])', 0),
+  regexp_extract_all(translate(lower(if(marked, regexp_replace(rest, '(?i)[\\s\\x{{FFFD}}]*(?:(?:\\.\\.+|…|\\[(?:\\.\\.\\.|…|truncated)\\])[\\s\\x{{FFFD}}]*)+$', ''), rest)), '123456789', '000000000'),
+    '[#$@]?[\\p{{L}}\\p{{N}}]+|[.!?…\\n()»"”:;,]|\\p{{So}}', 0)) as words
+from (select *, endswith(rest, '...') or endswith(rest, '…') or endswith(rest, ']') as marked from (select *, rtrim(' \n\t\r�', value) as rest from {values}))
 """
 
 _ENDS = r"""
-select *, xxhash64(part, w1, w2) as pair, xxhash64(part, w1, w2, w3) as k3, xxhash64(part, w2, w3) as k2, xxhash64(part, w3) as k1, w3 rlike '[\\p{{L}}\\p{{N}}]$' as bare
+select *, xxhash64(part, w1, w2) as pair, xxhash64(part, w1, w2, w3) as k3, xxhash64(part, w2, w3) as k2, xxhash64(part, w3) as k1, w3 rlike '[\\p{{L}}\\p{{N}}]$' as bare,
+       if(part = 'html', regexp_count(tags, '<(?!/|!|meta|br|img|hr|link|input|area|base|col|source|wbr)') - regexp_count(tags, '</'), 0) as opens
 from (
-  select id, source_id, field_name, kind, part, print, chars, bytes, value rlike '\\x{{FFFD}}\\s*$' as broken,
-         case when rtrim(value) rlike '(?i)\\[(…|\\.\\.\\.|truncated)\\]$' then '[]' when rtrim(value) like '%...' then '...' when rtrim(value) like '%…' then '…'
-              when field_name <> 'raw_html' and value rlike '[ \\t]$' then ' ' else '' end as mark,
-         if(field_name = 'raw_html',
-           regexp_count(value, '<(?!/|!|meta|br|img|hr|link|input|area|base|col|source|wbr|\\?)[a-zA-Z][^>]*(?<!/)>') - regexp_count(value, '</[a-zA-Z]'), 0) as opens,
+  select id, source_id, field_name, kind, part, print, chars, bytes, endswith(rtrim(value), '�') as broken,
+         case when marked and rest rlike '(?i)\\[(…|\\.\\.\\.|truncated)\\]$' then '[]' when endswith(rest, '...') then '...' when endswith(rest, '…') then '…'
+              when part <> 'html' and (endswith(value, ' ') or endswith(value, '\t')) then ' ' else '' end as mark,
+         if(part = 'html', lower(array_join(words, '')), '') as tags,
          coalesce(get(words, size(words) - 3), '^') as w1, coalesce(get(words, size(words) - 2), '^') as w2, coalesce(get(words, size(words) - 1), '^') as w3, size(words) as n_words, xxhash64(words) as said
   from {tokens})
 """
 
 _FLAT = r"""
-select part, xxhash64(part, t.w1, t.w2) as pair, t.w1, t.w2, t.w3, t.w4 in ('.', '!', '?', '…', '\\n') as stop
-from (select part, explode(transform(sequence(0, size(words) - 2), i -> named_struct('w1', if(i > 1, get(words, i - 2), '^'), 'w2', if(i > 0, get(words, i - 1), '^'), 'w3', get(words, i), 'w4', get(words, i + 1)))) as t
-      from {tokens} where size(words) > 1)
+select part, xxhash64(part, t.w1, t.w2) as pair, t.w1, t.w2, t.w3, t.w4 in ('.', '!', '?', '…', '\n') as stop
+from (select part, explode(arrays_zip(w1, w2, w3, w4)) as t
+      from (select part, concat(array('^', '^'), words) as w1, concat(array('^'), words) as w2, words as w3, slice(words, 2, size(words)) as w4 from {tokens} where size(words) > 1))
+where t.w4 is not null
 """
 
 #: For each wanted key (of a trigram, pair or word): how often it occurs inside as it stands, and as the beginning of longer words.
@@ -213,7 +213,7 @@ def judged(rows: DataFrame) -> DataFrame:
     ends = ends.join(apart, ends["source_id"].eqNullSafe(apart["s"]) & (ends["field_name"] == apart["f"]) & (ends["bytes"] == apart["len"]), "left")
     ends = ends.withColumn("crowd", F.greatest(F.coalesce("chars_odds", F.lit(0.0)), F.when(F.col("chars_odds") >= 2, 0.0).otherwise(F.coalesce("odds", F.lit(0.0)))))
     totals = written(spark.sql(_TOTALS, ends=ends, grams=grams), "totals")
-    state = spark.sql(_STATES, ends=ends, inside=inside).withColumn("cut", F.expr(f"if(broken, 1d, if(endswith(mark, '~'), 0.99d, (crowd + {FIRST_SHARE}) / (crowd + {FIRST_SHARE} + 1)))"))
+    state = spark.sql(_STATES, ends=ends, inside=inside).withColumn("cut", F.expr(f"if(broken, 1d, if(endswith(mark, '~'), 0.99d, if(mark = 'open', 0.9d, (crowd + {FIRST_SHARE}) / (crowd + {FIRST_SHARE} + 1))))"))
     text = _ROUND.replace("{k}", str(BACK_OFF))
     for _ in range(ROUNDS):
         state = written(state, "verdicts")
