@@ -63,7 +63,7 @@ from (
          case when marked and rest rlike '(?i)\\[(…|\\.\\.\\.|truncated)\\]$' then '[]' when endswith(rest, '...') then '...' when endswith(rest, '…') then '…'
               when part <> 'html' and (endswith(value, ' ') or endswith(value, '\t')) then ' ' else '' end as mark,
          if(part = 'html', lower(array_join(words, '')), '') as tags,
-         coalesce(get(words, size(words) - 3), '^') as w1, coalesce(get(words, size(words) - 2), '^') as w2, coalesce(get(words, size(words) - 1), '^') as w3, size(words) as n_words, xxhash64(words) as said
+         coalesce(get(words, size(words) - 3), '^') as w1, coalesce(get(words, size(words) - 2), '^') as w2, coalesce(get(words, size(words) - 1), '^') as w3, size(words) as n_words, if(part = 'html', print, xxhash64(words)) as said
   from {tokens})
 """
 
@@ -213,7 +213,7 @@ def judged(rows: DataFrame) -> DataFrame:
     ends = ends.join(apart, ends["source_id"].eqNullSafe(apart["s"]) & (ends["field_name"] == apart["f"]) & (ends["bytes"] == apart["len"]), "left")
     ends = ends.withColumn("crowd", F.greatest(F.coalesce("chars_odds", F.lit(0.0)), F.when(F.col("chars_odds") >= 2, 0.0).otherwise(F.coalesce("odds", F.lit(0.0)))))
     totals = written(spark.sql(_TOTALS, ends=ends, grams=grams), "totals")
-    state = spark.sql(_STATES, ends=ends, inside=inside).withColumn("cut", F.expr(f"if(broken, 1d, if(endswith(mark, '~'), 0.99d, if(mark = 'open', 0.9d, (crowd + {FIRST_SHARE}) / (crowd + {FIRST_SHARE} + 1))))"))
+    state = spark.sql(_STATES, ends=ends, inside=inside).withColumn("cut", F.expr(f"if(broken, 1d, if(endswith(mark, '~'), 0.99d, greatest(if(mark = 'open', 0.99d, 0d), (crowd + {FIRST_SHARE}) / (crowd + {FIRST_SHARE} + 1))))"))
     text = _ROUND.replace("{k}", str(BACK_OFF))
     for _ in range(ROUNDS):
         state = written(state, "verdicts")
