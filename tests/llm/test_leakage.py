@@ -99,3 +99,10 @@ def test_three_alterations_anywhere():
         for b in run(iter([pa.RecordBatch.from_arrays([pa.array(range(len(texts)), pa.int64()), pa.array(texts)], names=["doc_id", "text"])])):
             got |= set(b.column(0).to_pylist())
         assert [c for n, c in enumerate(cases) if n not in got] == []
+
+
+def test_short_items_are_found(spark):
+    items = [(1, "красный дом стоит"), (2, "зелёный холм"), (3, "кот"), (4, "Солнце светит ярко сегодня. Птицы летят на юг. Дети играют во дворе. Ветер дует с моря. Река течёт очень тихо.")]
+    docs = [(1, "Здесь красный дом стоит."), (2, "Там зеленый холм виден, а холм зелёный нет."), (3, "мой кот спит, котик"), (4, "Река течёт очень тихо. Дети играют во дворе. Солнце светит ярко сегодня. Ветер дует с моря. Птицы летят на юг."), (5, "котик зелёный")]
+    got = L.leaks(spark.createDataFrame(docs, "doc_id bigint, text string"), spark.createDataFrame(items, "item_id bigint, text string")).collect()
+    assert {tuple(r) for r in got} == {(1, 1), (2, 2), (3, 3), (4, 4)}

@@ -70,14 +70,56 @@ def test_formula_orders_texts():
     assert reading.formula_level(easy) == 1 and reading.formula_level(hard) == 4 and reading.formula_level("") == 2
 
 
+def _rates(groups, goal, caps):
+    p = np.array([q for q, _ in groups], float)
+    tokens = np.array([t for _, t in groups], float)
+    return mixing.fit_rates(mixing.Fit(np.array(goal), np.array(caps), p.T @ tokens), p, tokens)
+
+
 def test_rates():
-    groups = [(0, 0, 20, 1000.0), (1, 1, 20, 1000.0), (2, 2, 20, 5000.0)]
-    r = mixing.fit_rates(groups, np.array([500.0, 3000.0, 0.0]), np.array([1.0, 2.0, 0.0]))
+    r = _rates([((1, 0, 0), 1000.0), ((0, 1, 0), 1000.0), ((0, 0, 1), 5000.0)], [500.0, 3000.0, 0.0], [1.0, 2.0, 0.0])
     assert r == pytest.approx([0.5, 2.0, 0.0], abs=1e-6)
-    soft = mixing.fit_rates([(0, 1, 10, 1000.0), (0, 0, 20, 1000.0)], np.array([1000.0, 250.0]), np.array([4.0, 4.0]))
+    soft = _rates([((0.5, 0.5), 1000.0), ((1, 0), 1000.0)], [1000.0, 250.0], [4.0, 4.0])
     assert soft[0] * 500 == pytest.approx(250, rel=1e-3) and soft[0] * 500 + soft[1] * 1000 == pytest.approx(1000, rel=1e-3)
 
 
+def test_hundredths_add_up():
+    q = mixing.hundredths(np.array([[1.0, 1.0, 1.0], [0.999, 0.0005, 0.0005], [1e-9, 1.0, 0.0]]))
+    assert (q.sum(1) == 100).all() and q[0].tolist() == [34, 33, 33] and q[2].tolist() == [0, 100, 0]
+
+
+def test_spread_steps_equal_the_driver(spark):
+    rng = random.Random(8)
+    rows = [(i, " ".join(rng.choices(WORDS["abc"[i % 3]], k=10 + i % 50)), ["one", "two", "three", None][i % 4], 1, 1) for i in range(400)]
+    docs = spark.createDataFrame(rows, DOCS)
+    goals = spark.createDataFrame([("one", 0.5, 1), ("two", 0.3, 2), ("three", 0.2, 3)], "source string, target_share double, max_repeats int")
+    here = {r["source"]: r for r in mixing.Mix(docs, goals).report().collect()}
+    spread = {r["source"]: r for r in mixing.Mix(docs, goals, max_groups=0).report().collect()}
+    for name, r in here.items():
+        assert abs(r["error"]) < 0.06 and spread[name]["tokens"] == pytest.approx(r["tokens"], rel=0.05)
+    sized = {r["source"]: r for r in mixing.Mix(docs, goals, total_tokens=1e6).report().collect()}
+    assert not any(r["reached"] for r in sized.values()) and all(r["error"] < 0 for r in sized.values())
+
+
+def test_too_many_targets_are_refused(spark):
+    goals = spark.range(mixing.MAX_TARGETS + 1).selectExpr("cast(id as string) source", "0.1D target_share", "1 max_repeats")
+    with pytest.raises(ValueError):
+        mixing.Mix(spark.createDataFrame([], DOCS), goals)
+    names = spark.range(topics.MAX_AREAS + 1).selectExpr("cast(id as string) topic", "'x' name_ru")
+    with pytest.raises(ValueError):
+        topics.assign(spark.createDataFrame([], "id bigint, text string"), spark.createDataFrame([], "processed_article_id bigint, topic string"), names)
+
+
+def test_words_beyond_the_vocabulary_share_rows(spark):
+    from tidewire.llm import bayes
+
+    counts = spark.createDataFrame([(f"слово{i}", float(100 - i), 1.0) for i in range(40)], "word string, c0 double, c1 double")
+    model = bayes.collect_model(counts, 2, max_vocab=10, slots=8)
+    assert len(model.vocab) == 10 and model.counts.sum() == pytest.approx(sum(101.0 - i for i in range(40)))
+    assert all(model.vocab.get(f"слово{i}") is not None for i in range(40)) and model.vocab.get("слово3") == 3
+    assert bayes.collect_model(counts, 2).vocab.get("иное") is None
+
+
 def test_mix(spark):
     rng = random.Random(6)
     source = lambda i: ["one", " ONE", "two", "Three ", None][i % 5]

@@ -1,13 +1,15 @@
 """Word counts per class, and scores of texts by word weights: what the classifiers here share.
 
-Counting is a map with in-task sums (a few rows a word leave each task) and one small aggregation; only a
-vocabulary of at most ``max_vocab`` words comes to the driver. Scoring is a map over Arrow batches with the
-model as a broadcast variable of that proven size.
+Counting is a map with in-task sums (a few rows a word leave each task) and one small aggregation. A model has a row
+for each of the ``MAX_VOCAB`` most frequent words and ``SLOTS`` rows that the others share by their hash, so every word
+counts, whatever the vocabulary: at most (MAX_VOCAB + SLOTS) x classes numbers (8 bytes; 25 MB for ten classes) and
+MAX_VOCAB words (about 5 MB) come to the driver and are broadcast. Scoring is a map over Arrow batches.
 """
 
 from __future__ import annotations
 
 import re
+import zlib
 from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 
@@ -18,6 +20,8 @@ from pyspark.sql import functions as F
 
 WORD = re.compile(r"[^\W\d_]+")
 MAX_VOCAB = 50_000
+#: Rows that words beyond the most frequent share.
+SLOTS = 1 << 18
 #: Words a task holds before it lets go of its sums.
 HELD = 200_000
 
@@ -26,9 +30,28 @@ def words(text: str) -> list[str]:
     return WORD.findall(text.lower())
 
 
+class Vocabulary:
+    """Word to row of the model; None for words the model has never seen."""
+
+    def __init__(self, own: dict[str, int], shared: np.ndarray | None = None):
+        self.own = own
+        #: Row of each slot, -1 where no word fell into it.
+        self.shared = shared
+
+    def __len__(self) -> int:
+        return len(self.own)
+
+    def get(self, word: str) -> int | None:
+        at = self.own.get(word)
+        if at is None and self.shared is not None:
+            at = int(self.shared[zlib.crc32(word.encode()) % len(self.shared)])
+            return at if at >= 0 else None
+        return at
+
+
 @dataclass
 class Model:
-    vocab: dict[str, int]
+    vocab: Vocabulary
     counts: np.ndarray  # words x classes
 
 
@@ -65,11 +88,23 @@ def word_counts(rows: DataFrame, k: int) -> DataFrame:
     return parts.groupBy("word").agg(*[F.sum(f"c{i}").alias(f"c{i}") for i in range(k)])
 
 
-def collect_model(counts: DataFrame, k: int, max_vocab: int = MAX_VOCAB, least: float = 2.0) -> Model:
-    """The most frequent words (ties by the word) with their counts, at most ``max_vocab``."""
-    total = sum((F.col(f"c{i}") for i in range(1, k)), F.col("c0"))
-    rows = counts.withColumn("n", total).filter(F.col("n") >= least).orderBy(F.desc("n"), "word").limit(max_vocab).collect()
-    return Model({r["word"]: i for i, r in enumerate(rows)}, np.array([[r[f"c{j}"] for j in range(k)] for r in rows]).reshape(len(rows), k))
+def collect_model(counts: DataFrame, k: int, max_vocab: int = MAX_VOCAB, slots: int = SLOTS) -> Model:
+    """The most frequent words (ties by the word) with rows of their own; all others by hash in shared rows."""
+    sums = [f"c{i}" for i in range(k)]
+    counts = counts.withColumn("n", sum((F.col(c) for c in sums[1:]), F.col("c0")))
+    rows = counts.orderBy(F.desc("n"), "word").limit(max_vocab).collect()
+    table = [[r[c] for c in sums] for r in rows]
+    shared = None
+    if len(rows) == max_vocab:
+        last = rows[-1]
+        rest = counts.filter((F.col("n") < last["n"]) | ((F.col("n") == last["n"]) & (F.col("word") > last["word"])))
+        found = rest.groupBy(F.pmod(F.crc32("word"), F.lit(slots)).alias("slot")).agg(*[F.sum(c).alias(c) for c in sums]).collect()  # at most ``slots`` rows
+        if found:
+            shared = np.full(slots, -1, np.int64)
+            for r in found:
+                shared[r["slot"]] = len(table)
+                table.append([r[c] for c in sums])
+    return Model(Vocabulary({r["word"]: i for i, r in enumerate(rows)}, shared), np.array(table, float).reshape(len(table), k))
 
 
 def log_likelihoods(model: Model, alpha: float) -> np.ndarray:

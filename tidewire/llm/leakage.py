@@ -21,8 +21,8 @@ Scale: one map over the documents, no shuffle of texts. The items are a stated q
 blocks of at most ``BLOCK_TOKENS`` tokens, each block one pass, so their number is not limited by memory. A document
 is read whole whatever its length; a document copied a million times is a million independent rows.
 
-Defined results: null or empty texts and items give no row; an item of fewer than three words gives
-none; repeated documents of one id give one row; ties do not arise; extra columns are ignored.
+Defined results: null or empty texts and items give no row; an item of one or two words is found only as it stands,
+word for word; repeated documents of one id give one row; ties do not arise; extra columns are ignored.
 """
 
 from __future__ import annotations
@@ -214,6 +214,11 @@ class Seeds:
 
     def __init__(self, items: list[tuple[int, str]]):
         self.items = {k: tokens(t) for k, t in items}
+        #: Items of one or two words have no third to verify by.
+        self.short: dict[tuple[str, ...], list[int]] = {}
+        for k, ts in self.items.items():
+            if 0 < len(ts) < 3:
+                self.short.setdefault(tuple(ts), []).append(k)
         words = sorted({w for ts in self.items.values() for w in ts})
         self.vocab = {w: n + 1 for n, w in enumerate(words)}
         rng = np.random.default_rng(20_25)
@@ -308,6 +313,11 @@ def _matcher(items: list[tuple[int, str]], min_words: int, min_cover: float) ->
             for text in b.column(1).to_pylist():
                 ts = tokens(text)
                 words.append(ts)
+                if seeds.short:
+                    for key in {(w,) for w in ts} | set(zip(ts, ts[1:])):
+                        for item in seeds.short.get(key, ()):
+                            docs.append(ids[len(words) - 1])
+                            found.append(item)
                 starts.append(len(flat))
                 flat.extend([number.setdefault(w, len(number)) for w in ts])
                 flat.extend([-1] * GAP)

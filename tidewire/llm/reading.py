@@ -6,7 +6,7 @@ given, texts are seeded by a readability formula (sentence and word length) and
 those seeds.
 
 Training uses the labels of at most ``MAX_LABELLED`` documents, chosen by hash (a documented bound for the
-fit); every document is assigned, by all its words. The models hold at most ``bayes.MAX_VOCAB`` words.
+fit); every document is assigned, by all its words. Every word of theirs counts (``bayes``).
 
 Defined results: null or blank texts give no row; a text without known words gets the most frequent level;
 ties go to the lower level; several labels of one document count for the smallest; repeated rows give one
@@ -55,7 +55,7 @@ def train(documents: DataFrame, labels: DataFrame | None) -> tuple[Model, np.nda
     labels = bounded_sample(labels.groupBy("doc_id").agg(F.min("reading_level").alias("level")), "doc_id", MAX_LABELLED)
     # At most MAX_LABELLED rows of two numbers.
     rows = docs.join(F.broadcast(labels), "doc_id").select("text", F.array(*[(F.col("level") == n).cast("double") for n in LEVELS]).alias("w"))
-    model = collect_model(word_counts(rows, len(LEVELS)), len(LEVELS), least=1.0)
+    model = collect_model(word_counts(rows, len(LEVELS)), len(LEVELS))
     seen = {r["level"]: r["n"] for r in labels.groupBy("level").agg(F.count("*").alias("n")).collect()}
     prior = np.array([seen.get(n, 0) + 1.0 for n in LEVELS])
     return model, np.log(prior / prior.sum())
@@ -65,7 +65,7 @@ def assign(documents: DataFrame, labels: DataFrame | None = None) -> DataFrame:
     """(doc_id, reading_level): one row per document with a text."""
     spark = documents.sparkSession
     model, prior = train(documents, labels)
-    weights = log_likelihoods(model, ALPHA) if len(model.vocab) else np.zeros((0, len(LEVELS)))
+    weights = log_likelihoods(model, ALPHA) if len(model.counts) else np.zeros((0, len(LEVELS)))
     shared = spark.sparkContext.broadcast((model.vocab, weights, prior))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

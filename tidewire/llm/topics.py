@@ -8,10 +8,11 @@ are turned into independent posteriors per area by a logistic curve fitted on th
 an area is assigned at a posterior of one half or more. Every document keeps at least its largest area.
 
 Fit on at most ``MAX_LABELLED`` labelled documents, chosen by hash; the EM rounds read every document. Each round is one
-map with in-task sums: what is shuffled is words x areas per task, so the rounds run on few large tasks
-(``EM_TASKS``). Texts are split and coded into word numbers once, in a written table the rounds stream.
+map with in-task sums: what is shuffled is words x areas per task, so a round has a few tasks per core of the cluster
+(``TASKS_PER_CORE``) and not one per file; a task streams its part, whatever its size. Texts are split and coded into word numbers once, in a written table the rounds stream.
 
-Defined results: null or blank texts give no row; a text without known words gets the most frequent area; ties go
+Defined results: null or blank texts give no row; a text without a word of the labelled ones
+gets the most frequent area; ties go
 to the first area by name; unknown areas in labels are ignored; repeated rows give one row; empty tables give none;
 without labels there is no result; other columns are ignored.
 """
@@ -31,8 +32,10 @@ from tidewire.session import written
 
 MAX_LABELLED = 50_000
 EM_ROUNDS = 2
-EM_TASKS = 256
+TASKS_PER_CORE = 4
 ALPHA = 0.5
+#: More areas are refused: the model holds a number per word and area.
+MAX_AREAS = 1000
 SENTENCE = re.compile(r"(?<=[.!?…])[»\")\]]*\s+|\n+")
 
 
@@ -78,15 +81,17 @@ def _posteriors(coded: pa.Array, weights: np.ndarray) -> tuple[np.ndarray, np.nd
     return flat, n, owner, q / q.sum(1, keepdims=True)
 
 
-def _shares(owner: np.ndarray, q: np.ndarray, n: np.ndarray, docs: int) -> np.ndarray:
+def _shares(flat: np.ndarray, n: np.ndarray, owner: np.ndarray, q: np.ndarray, docs: int, labelled: np.ndarray) -> np.ndarray:
+    """Per document its areas' shares; none without a word of the labelled documents."""
     out = np.stack([np.bincount(owner, weights=q[:, j] * n, minlength=docs) for j in range(q.shape[1])], 1)
-    return out / np.maximum(out.sum(1, keepdims=True), 1e-300)
+    some = np.bincount(np.repeat(owner, n), weights=labelled[flat], minlength=docs) > 0
+    return out / np.maximum(out.sum(1, keepdims=True), 1e-300) * some[:, None]
 
 
 def _em_round(coded: DataFrame, model: Model, k: int) -> Model:
     """One round over all documents: posteriors by the model, word counts weighted by them."""
     shared = coded.sparkSession.sparkContext.broadcast(complement_weights(model.counts, ALPHA))
-    size = len(model.vocab)
+    size = len(model.counts)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         w = shared.value
@@ -103,9 +108,9 @@ def _em_round(coded: DataFrame, model: Model, k: int) -> Model:
         yield pa.RecordBatch.from_arrays([pa.array(some, pa.int64()), *[pa.array(sums[some, j]) for j in range(k)]], names=["word", *[f"c{j}" for j in range(k)]])
 
     schema = "word bigint, " + ", ".join(f"c{j} double" for j in range(k))
-    tasks = coded.select("w", "sentences").coalesce(EM_TASKS).mapInArrow(run, schema).groupBy("word").agg(*[F.sum(f"c{j}").alias(f"c{j}") for j in range(k)])
+    tasks = coded.select("w", "sentences").coalesce(max(8, TASKS_PER_CORE * coded.sparkSession.sparkContext.defaultParallelism)).mapInArrow(run, schema).groupBy("word").agg(*[F.sum(f"c{j}").alias(f"c{j}") for j in range(k)])
     counts = np.zeros((size, k))
-    for r in tasks.collect():  # at most MAX_VOCAB rows
+    for r in tasks.collect():  # a row of the model each
         counts[r["word"]] = [r[f"c{j}"] for j in range(k)]
     return Model(model.vocab, counts)
 
@@ -142,14 +147,14 @@ class Topics:
         total = F.aggregate("w", F.lit(0.0), lambda s, y: s + y)
         # One count: the labelled documents' weights per area, and every word once more in the last column.
         even = F.when(F.col("w").isNull(), F.array(*[F.lit(0.0)] * k)).otherwise(F.transform("w", lambda x: x / total))
-        every = collect_model(word_counts(rows.select("text", F.concat(even, F.array(F.lit(1.0))).alias("w")), k + 1), k + 1, least=3.0)
+        every = collect_model(word_counts(rows.select("text", F.concat(even, F.array(F.lit(1.0))).alias("w")), k + 1), k + 1)
         self.model = Model(every.vocab, every.counts[:, :k])
-        self.trained = bool(len(every.vocab)) and bool(self.model.counts.sum() > 0)
+        self.trained = bool(self.model.counts.sum() > 0)
         self.words = spark.sparkContext.broadcast(every.vocab)
         self.coded = written(rows.select("id", "w", "text").mapInArrow(_coder(self.words), CODED), "coded") if self.trained else None
         for _ in range(rounds if self.trained else 0):
             self.model = _em_round(self.coded, self.model, k)
-        self.weights = spark.sparkContext.broadcast(complement_weights(self.model.counts, ALPHA))
+        self.weights = spark.sparkContext.broadcast((complement_weights(self.model.counts, ALPHA), every.counts[:, :k].sum(1) > 0))
         self.slope, self.offset, self.usual = 20.0, -5.0, 0
         if self.trained:
             seen = self.coded.filter("w is not null").mapInArrow(self._share_map(), "w array<double>, share array<double>").toPandas()  # at most MAX_LABELLED rows
@@ -161,8 +166,8 @@ class Topics:
 
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             for b in batches:
-                _, n, owner, q = _posteriors(b.column(2), shared.value)
-                share = _shares(owner, q, n, b.num_rows)
+                weights, labelled = shared.value
+                share = _shares(*_posteriors(b.column(2), weights), b.num_rows, labelled)
                 yield pa.RecordBatch.from_arrays([b.column(1), pa.array(share.tolist(), pa.list_(pa.float64()))], names=["w", "share"])
 
         return run
@@ -180,8 +185,8 @@ class Topics:
 
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             for b in batches:
-                _, n, owner, q = _posteriors(b.column(1), shared.value)
-                share = _shares(owner, q, n, b.num_rows)
+                weights, labelled = shared.value
+                share = _shares(*_posteriors(b.column(1), weights), b.num_rows, labelled)
                 p = 1 / (1 + np.exp(-np.clip(slope * share + offset, -35, 35)))
                 yes = p >= 0.5
                 top = np.where(share.max(1) > 0, share.argmax(1), usual) if b.num_rows else np.zeros(0, int)
@@ -197,5 +202,7 @@ class Topics:
 
 def assign(articles: DataFrame, labels: DataFrame, topic_names: DataFrame) -> Topics:
     """Fits on the tables; the list of areas is a small fixed table."""
-    names = [r[0] for r in topic_names.select("topic").filter("topic is not null").distinct().limit(1000).collect()]
+    names = [r[0] for r in topic_names.select("topic").filter("topic is not null").distinct().limit(MAX_AREAS + 1).collect()]
+    if len(names) > MAX_AREAS:
+        raise ValueError(f"more than {MAX_AREAS} subject areas")
     return Topics(articles, labels, names)
