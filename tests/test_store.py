@@ -57,6 +57,13 @@ def test_table_store(spark, tmp_path):
     s.write("t", spark.range(3))
     s.write("t", s.read("t").union(spark.range(3, 5)))
     assert s.version("t") == 2 and s.read("t").count() == 5
+    s.append("t", spark.range(5, 7))
+    assert store.TableStore(spark, f"file://{tmp_path}").version("t") == 3  # another process finds it
+    assert s.read("t").count() == 7 and s.read("t", 1).count() == 3 and len(s.parts("t")) == 2
+    with pytest.raises(RuntimeError):
+        s._commit("t", [], 3)
+    s.compact("t", 1)
+    assert s.version("t") == 4 and len(s.parts("t")) == 1 and s.read("t").count() == 7
 
 
 def test_alias_rules(spark):

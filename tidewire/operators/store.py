@@ -6,7 +6,8 @@ always given by a column; nothing depends on arrival in partitions.
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+import uuid
+from collections.abc import Callable, Sequence
 from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
@@ -113,26 +114,64 @@ def validate(rows: DataFrame, rules: Sequence[Rule]) -> tuple[DataFrame, DataFra
 
 
 class TableStore:
-    """Versioned Parquet tables: a change writes the next version, then moves the pointer; readers keep theirs."""
+    """Versioned Parquet tables. A version is a manifest: a numbered file that lists the table's parts. A change writes its part
+    first and then the next manifest, which appears whole by a rename, so readers keep theirs and a writer that dies leaves
+    nothing behind that counts. Two writers of one version: the second rename fails and that writer raises."""
 
     def __init__(self, spark: SparkSession, root: str):
         self.spark, self.root = spark, root.rstrip("/")
 
-    def _pointer(self, name: str) -> str:
-        return f"{self.root}/{name}/_current"
+    def _files(self, path: str):
+        where = self.spark._jvm.org.apache.hadoop.fs.Path(path)
+        return where.getFileSystem(self.spark._jsc.hadoopConfiguration()), where
 
     def version(self, name: str) -> int:
-        path = self.spark._jvm.org.apache.hadoop.fs.Path(self._pointer(name))
-        fs = path.getFileSystem(self.spark._jsc.hadoopConfiguration())
-        if not fs.exists(path):
+        fs, folder = self._files(f"{self.root}/{name}/manifests")
+        if not fs.exists(folder):
             return 0
-        return int(self.spark.read.text(self._pointer(name)).first()[0])
-
-    def read(self, name: str) -> DataFrame:
-        return self.spark.read.parquet(f"{self.root}/{name}/v{self.version(name)}")
+        return max((int(f.getPath().getName()) for f in fs.listStatus(folder) if f.getPath().getName().isdigit()), default=0)
+
+    def parts(self, name: str, version: int | None = None) -> list[str]:
+        now = self.version(name) if version is None else version
+        if now == 0:
+            return []
+        fs, where = self._files(f"{self.root}/{name}/manifests/{now:010d}")
+        stream = fs.open(where)
+        try:
+            return bytes(stream.readAllBytes()).decode().split()
+        finally:
+            stream.close()
+
+    def read(self, name: str, version: int | None = None) -> DataFrame:
+        return self.spark.read.parquet(*[f"{self.root}/{name}/{p}" for p in self.parts(name, version)])
+
+    def _commit(self, name: str, parts: Sequence[str], number: int) -> int:
+        fs, draft = self._files(f"{self.root}/{name}/manifests/draft-{uuid.uuid4().hex}")
+        out = fs.create(draft)
+        out.write("\n".join(parts).encode())
+        out.close()
+        final = self._files(f"{self.root}/{name}/manifests/{number:010d}")[1]
+        if fs.exists(final) or not fs.rename(draft, final):
+            fs.delete(draft, False)
+            raise RuntimeError(f"{name}: another writer made version {number}")
+        return number
+
+    def _part(self, name: str, rows: DataFrame) -> str:
+        part = f"part-{uuid.uuid4().hex}"
+        rows.write.parquet(f"{self.root}/{name}/{part}")
+        return part
 
     def write(self, name: str, rows: DataFrame) -> int:
-        now = self.version(name) + 1
-        rows.write.mode("overwrite").parquet(f"{self.root}/{name}/v{now}")
-        self.spark.createDataFrame([(str(now),)], "value string").coalesce(1).write.mode("overwrite").text(self._pointer(name))
-        return now
+        """Replaces the table."""
+        number = self.version(name) + 1
+        return self._commit(name, [self._part(name, rows)], number)
+
+    def append(self, name: str, rows: DataFrame) -> int:
+        """Adds rows; what is stored is neither read nor written."""
+        number = self.version(name) + 1
+        return self._commit(name, [*self.parts(name, number - 1), self._part(name, rows)], number)
+
+    def compact(self, name: str, most: int, how: Callable[[DataFrame], DataFrame] = lambda rows: rows) -> None:
+        """Rewrites a table of more than ``most`` parts as one, through ``how``."""
+        if len(self.parts(name)) > most:
+            self.write(name, how(self.read(name)))

@@ -8,19 +8,19 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
-from tidewire.operators.store import TableStore, insert_ignore
+from tidewire.operators.store import TableStore, keep_first
 
 
-def ingest_stream(stream: DataFrame, store: TableStore, name: str, keys: Sequence[str], order: Sequence[str], checkpoint: str) -> StreamingQuery:
-    """Appends what is new by key, over all time: each batch is anti-joined to the stored table. A batch that is run again
-    after a failure finds its rows stored and adds none."""
+def ingest_stream(stream: DataFrame, store: TableStore, name: str, keys: Sequence[str], order: Sequence[str], checkpoint: str, most: int = 32) -> StreamingQuery:
+    """Appends what is new by key, over all time: each batch is anti-joined to the stored keys and only its new rows are written.
+    A batch that is run again after a failure finds its rows stored and adds none. More than ``most`` parts are compacted."""
 
     def batch(rows: DataFrame, number: int) -> None:
-        spark = rows.sparkSession
-        if store.version(name) == 0:
-            store.write(name, spark.createDataFrame([], rows.schema))
-        new, _ = insert_ignore(store.read(name), rows, keys, [F.col(c) for c in order])
-        store.write(name, new)
+        new = keep_first(rows, keys, [F.col(c) for c in order])
+        if store.version(name):
+            new = new.join(store.read(name).select(*keys), list(keys), "left_anti").select(*rows.columns)
+        store.append(name, new)
+        store.compact(name, most)
 
     return stream.writeStream.foreachBatch(batch).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
 
