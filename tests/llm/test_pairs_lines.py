@@ -129,6 +129,29 @@ def test_deltas_equal_one_merge(spark):
         assert rebuilt[i] == want
 
 
+def test_documents_that_come_again(spark):
+    rows = corpus()
+    path = RepeatedLines(spark).store.root
+    RepeatedLines(spark, path).merge(make(spark, [(i, s, "Подписка!\n© Газета 2020") for i, s, _ in rows]))
+    for k in range(12):  # more deltas than parts are kept; each time by a new reader of the folder
+        changed = RepeatedLines(spark, path).merge(make(spark, rows[k::12]))
+    state = RepeatedLines(spark, path)
+    assert {tuple(r) for r in state.found().distinct().collect()} == repeated(rows)
+    assert len(state.store.parts("counts")) <= 9
+    full = {r["id"]: r["text"] for r in state.rebuild(make(spark, rows)).collect()}
+    part = {r["id"]: r["text"] for r in state.rebuild(make(spark, rows), changed).collect()}
+    assert set(part) <= set(full) and all(full[i] == t for i, t in part.items())
+
+
+def test_rebuild_without_broadcast(spark, monkeypatch):
+    rows = corpus()
+    state = RepeatedLines(spark)
+    state.merge(make(spark, rows))
+    full = sorted(map(str, state.rebuild(make(spark, rows)).collect()))
+    monkeypatch.setattr("tidewire.llm.lines.BROADCAST_ROWS", 0)
+    assert sorted(map(str, state.rebuild(make(spark, rows)).collect())) == full
+
+
 def test_no_documents(spark):
     state = RepeatedLines(spark)
     state.merge(make(spark, []))

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from tidewire.llm import boilerplate, leakage, mixing, names, reading, sql, topics, truncation
 from tidewire.llm.lines import RepeatedLines
 from tidewire.llm.pairs import pair_counts
-from tidewire.session import table
+from tidewire.session import scratch_path, table
 
 
 def p1_found(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -74,6 +74,16 @@ def p7_texts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return state.rebuild(articles)
 
 
+def p7_increments(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The same lines when the articles arrive in three deltas, the last of which brings those of source 7 once more."""
+    path = scratch_path(spark, "lines")
+    articles = table(spark, sf_dir, "raw_articles").withColumn("arrival", F.pmod(F.xxhash64("id"), F.lit(3)))
+    for n in range(3):
+        due = F.col("arrival") == n
+        RepeatedLines(spark, path).merge(articles.filter(due | (F.col("source_id") == 7) if n == 2 else due))
+    return RepeatedLines(spark, path).found()
+
+
 def p8_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return leakage.leaks(table(spark, sf_dir, "documents"), table(spark, sf_dir, "eval_items"))
 

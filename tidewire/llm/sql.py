@@ -24,3 +24,4 @@ c as (select k.source_id, k, true as hit from k join n using (source_id) where k
 x as (select k.id, coalesce(string_agg(line, chr(10) order by line_no) filter (hit is null), '') as text from k left join c on c.source_id = k.source_id and c.k = k.k group by k.id)
 select r.id, x.text from raw_articles r left join x using (id)""",
 }
+SQL["p7_increments"] = SQL["p7_found"]
