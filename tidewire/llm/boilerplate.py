@@ -1,11 +1,12 @@
 """The main body of a page: two-pass block rules over the lines of its text.
 
 Method: each line of raw_text is a block. Pass one classifies blocks by stop-word density, length, link
-density (the share of the line that stands in anchors of raw_html, where that has any) and closing
+density (the share of the line's letters that stand in anchors of raw_html, where that has any) and closing
 punctuation into good, bad and ambiguous (short). Pass two keeps an ambiguous block if the decided block before or
-after it is good (not only the nearer one: a body's short first and last paragraphs stand beside furniture), closes the
-body at the first list heading after it (related links, tags, comments) and drops good blocks that stand apart from the
-body's own run. The headline is found by the title.
+after it is good (not only the nearer one: a body's short first and last paragraphs stand beside furniture), and drops
+good blocks that stand apart from the body's own run, behind bad blocks, and are shorter than it (than half of it, where they
+stand near).
+The headline is found by the title. No phrases of page furniture are known.
 
 Defined results: rows without raw_html or raw_text give no lines; an empty text has the one empty line,
 which belongs to no body; repeated rows give equal results once; pages and lines of any length are
@@ -24,7 +25,7 @@ from collections.abc import Iterator
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
-# Frequent function words of the two languages of the data.
+# Frequent function words of the two languages of the data, after the public stop-word lists of the Snowball stemmers.
 STOP_WORDS = frozenset(
     "и в во не что он на я с со как а то все она так его но да ты к у же вы за бы по ее мне было вот от меня еще нет о из ему "
     "теперь когда даже ну вдруг ли если уже или ни быть был него до вас нибудь опять уж вам ведь там потом себя ничего ей может "
@@ -35,35 +36,14 @@ STOP_WORDS = frozenset(
     "the of and to in a is that for on it as with was at by be this from are or an which but not have has were had their its they "
     "his her he she we you will would there been if more when who also into than about after before over".split()
 )
-# Openings of page furniture. A line that begins with or holds one of these is no paragraph.
-FURNITURE = re.compile(
-    r"^(?:\W*)(?:теги|метки|tags?|источник|фото|видео|иллюстрация|автор|текст|редактор|корреспондент|материал|подготов\w+|читайте|читать|"
-    r"смотрите|см\. также|см\. ещ[её]|по теме|ещ[её] по теме|на эту тему|сейчас читают|популярное|самое читаемое|главное за день|похожие (?:новости|материалы)|"
-    r"рекоменду\w+|поделиться|подпи(?:шитесь|сывайтесь|саться|ска)|комментари\w+|оставить комментарий|войти|реклама|нашли опечатку|спасибо, что|больше новостей|"
-    r"телефон редакции|адрес редакции|для лиц старше|пользовательское соглашение|политика конфиденциальности|перепечатка|редакция|©|\(c\)|copyright|"
-    r"текст обновл[её]н|обновлено|опубликовано|share|read more|related|advertisement|subscribe|comments?)\b",
-    re.I,
-)
-FURNITURE_ANY = re.compile(
-    r"cookie|куки|все права защищены|принимаете политику|технические данные|не является (?:индивидуальной|рекламой)|является рекламой|"
-    r"не нес[её]т ответственности|со ссылкой на издание|all rights reserved|privacy policy|terms of use|сообщите редакции",
-    re.I,
-)
-LIST_HEAD = re.compile(
-    r"^\W*(?:теги|метки|tags|ещ[её] по теме|на эту тему|сейчас читают|популярное|самое читаемое|похожие (?:новости|материалы)|главное за день|"
-    r"читайте также|комментарии|рекомендуем|related|most read|comments)\b\W*",
-    re.I,
-)
-SPEAKER = re.compile(r"^[^\W\d_][\w.-]{1,24}\d{0,6}\s?(?:[,(][^:]{0,20})?:\s")
-NICK = re.compile(r"^[\w.-]*\d+\s?:\s|^@\w+")
-CRUMBS = re.compile(r"^[^/›»>]{1,40}(?:\s[/›»>]\s[^/›»>]{1,60})+$")
-INLINE_LINK = re.compile(r"^\W*(?:читайте также|смотрите также|см\. также|см\. ещ[её]|по теме|на эту тему|read also|see also)\b", re.I)
 SENTENCE = re.compile(r"[.!?…][»\"”)]*(?=\s+[«\"A-ZА-ЯЁ]|\s*$)")
 END = re.compile(r"[.!?…][»\"”)\]]*\W*$")
 ANCHOR = re.compile(r"<a\b[^>]*>(.*?)</a>", re.I | re.S)
 TAG = re.compile(r"<[^>]*>")
 WORD = re.compile(r"[^\W_]+")
 GOOD, BAD, SHORT = 1, 0, -1
+#: Lines apart, counted from line to line: more than APART make another group, more than FAR one surely not of the body.
+APART, FAR = 2, 3
 
 
 def _plain(s: str) -> str:
@@ -87,6 +67,12 @@ def link_share(plain: str, links: set[str]) -> float:
     return 1 - len(_letters(rest)) / max(len(_letters(plain)), 1) if rest != plain else 0.0
 
 
+def stop_share(line: str) -> float:
+    """Stop-word density: the share of a line's words that are function words."""
+    words = WORD.findall(_plain(line))
+    return sum(w in STOP_WORDS for w in words) / max(len(words), 1)
+
+
 def first_pass(line: str, links: set[str], min_words: int = 9, stop_low: float = 0.06) -> int:
     plain = _plain(line)
     if not plain:
@@ -94,11 +80,9 @@ def first_pass(line: str, links: set[str], min_words: int = 9, stop_low: float =
     words = WORD.findall(plain)
     if len(words) < 2 or plain in links or link_share(plain, links) > 0.5:
         return BAD
-    if FURNITURE.search(line) or FURNITURE_ANY.search(line) or NICK.search(line) or (len(words) < 16 and CRUMBS.search(line)):
-        return BAD
     if not END.search(line):
         return BAD
-    stops = sum(w in STOP_WORDS for w in words) / len(words)
+    stops = stop_share(line)
     sentences = len(SENTENCE.findall(line.strip()))
     if len(words) >= min_words and (stops >= stop_low or sentences > 1):
         return GOOD
@@ -135,51 +119,33 @@ def main_lines(text: str, page: str, title: str | None) -> list[bool]:
     head = find_headline(lines, title, page)
     last = len(lines) - 1
     # A text cut in its last line: that line may lack its end.
-    if last > head + 1 and label[last] == BAD and lines[last].strip() and label[last - 1] != BAD and not FURNITURE.search(lines[last]) and _plain(lines[last]) not in links:
+    if last > head + 1 and label[last] == BAD and lines[last].strip() and label[last - 1] != BAD and _plain(lines[last]) not in links:
         label[last] = GOOD
-    start = head + 1
-    end = len(lines)
-    seen = False
-    for i in range(start, len(lines)):
-        if label[i] == GOOD:
-            seen = True
-        if seen and LIST_HEAD.match(lines[i]) and (i + 1 >= len(lines) or label[i + 1] != GOOD) and lines[i].rstrip().rstrip(":").count(":") <= 1:
-            rest = LIST_HEAD.sub("", lines[i], count=1)
-            tagged = re.match(r"\W*(?:теги|метки|tags)", lines[i], re.I)
-            if tagged or not WORD.search(rest):
-                end = i
-                break
+    start, end = head + 1, len(lines)
     # Pass two: a short block is body if the decided block before or after it is good: a body's first and last paragraphs
     # stand beside furniture. Where nothing is decided, it is body too.
     out = [False] * len(lines)
     for i in range(start, end):
         if label[i] == SHORT:
-            # A single link to another article stands within a body: it decides nothing.
-            before = next((label[j] for j in range(i - 1, start - 1, -1) if label[j] != SHORT and not INLINE_LINK.match(lines[j])), None)
-            after = next((label[j] for j in range(i + 1, end) if label[j] != SHORT and not INLINE_LINK.match(lines[j])), None)
+            before = next((label[j] for j in range(i - 1, start - 1, -1) if label[j] != SHORT), None)
+            after = next((label[j] for j in range(i + 1, end) if label[j] != SHORT), None)
             near = [x for x in (before, after) if x is not None]
             out[i] = GOOD in near or not near
         else:
             out[i] = label[i] == GOOD
-    # Good blocks apart from the body: behind two or more lines of furniture in a row, and no more than the body has.
-    groups, run = [], []
-    gap = 0
+    # Good blocks apart from the body: behind lines of furniture, and shorter than it: the more lines, the longer they may be.
+    groups: list[list[int]] = []
     for i in range(start, end):
-        if out[i]:
-            if run and gap >= 3:
-                groups.append(run)
-                run = []
-            run.append(i)
-            gap = 0
-        else:
-            gap += 1
-    if run:
-        groups.append(run)
+        if out[i] and groups and i - groups[-1][-1] <= APART:
+            groups[-1].append(i)
+        elif out[i]:
+            groups.append([i])
     if len(groups) > 1:
-        weight = lambda g: sum(len(lines[i]) for i in g)
-        best = max(groups, key=weight)
-        for g in groups:
-            if g is not best and weight(g) < 0.5 * weight(best):
+        weight = [sum(len(lines[i]) for i in g) for g in groups]
+        best = weight.index(max(weight))
+        for n, g in enumerate(groups):
+            gap = g[0] - groups[best][-1] if n > best else groups[best][0] - g[-1]
+            if n != best and weight[n] < (1.0 if gap > FAR else 0.5) * weight[best]:
                 for i in g:
                     out[i] = False
     if head >= 0:
