@@ -7,6 +7,7 @@ import re
 from html.parser import HTMLParser
 
 import pandas as pd
+from pyspark.sql import Column
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -44,10 +45,18 @@ def plain_text(page: str | None) -> str:
 
 
 @F.pandas_udf(T.StringType())
-def clean_html(pages: pd.Series) -> pd.Series:
+def _parsed(pages: pd.Series) -> pd.Series:
     return pages.map(plain_text)
 
 
+def clean_html(value: Column | str) -> Column:
+    """The text of a fragment. Only values that hold markup or entities go to the parser; the others are trimmed in the JVM."""
+    value = F.col(value) if isinstance(value, str) else value
+    marked = F.coalesce(F.contains(value, F.lit("<")) | F.contains(value, F.lit("&")), F.lit(False))
+    plain = F.coalesce(F.regexp_replace(value, r"(?U)^\s+|\s+$", ""), F.lit(""))
+    return F.when(marked, _parsed(F.when(marked, value))).otherwise(plain)
+
+
 @F.pandas_udf(T.StringType())
 def unescape(texts: pd.Series) -> pd.Series:
     return texts.map(lambda x: html.unescape(x) if x else x)

@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tidewire.functions.text import canonical_name
-from tidewire.operators.store import keep_first
+from tidewire.operators.store import assign_ids, keep_first
 from tidewire.session import written
 
 DISCARD = "discard"
@@ -40,10 +40,11 @@ def upsert_entities(existing: DataFrame, names: DataFrame, aliases: DataFrame, n
     return first.join(old, ["normalized_name", "type"], "left").withColumn("is_new", F.col("_old").isNull()).drop("_old")
 
 
-def final_targets(pairs: DataFrame, most: int = 20) -> DataFrame:
-    """(source, target) with chains followed to their end; what runs in a circle is left out. Pointers double each round."""
+def final_targets(pairs: DataFrame) -> DataFrame:
+    """(source, target) with chains followed to their end; what runs in a circle is left out. Pointers double each round, so as
+    many rounds as the number of pairs has bits reach the end of any chain; what moves still is a circle."""
     jump = written(pairs.select("source", "target"), "chain")
-    for _ in range(most):
+    for _ in range(jump.count().bit_length() + 1):
         nxt = jump.select(F.col("source").alias("target"), F.col("target").alias("_next"))
         new = written(jump.join(nxt, "target", "left").select("source", F.coalesce("_next", "target").alias("target")), "chain")
         moved = new.join(jump.withColumnRenamed("target", "_was"), "source").filter("target <> _was").limit(1).count()
@@ -54,11 +55,34 @@ def final_targets(pairs: DataFrame, most: int = 20) -> DataFrame:
     return jump.filter("source <> target").join(still, "target", "left_anti").select("source", "target")
 
 
+def with_canonicals(entities: DataFrame, aliases: DataFrame) -> DataFrame:
+    """(id, normalized_name, type, created): the entities and, under new ids in the order of their names, the canonicals that
+    their aliases lead to and that are not stored; a created one may have an alias itself."""
+    a = aliases.filter((F.col("canonical_type") != DISCARD) & F.col("canonical_name").isNotNull()).select("alias_name", "alias_type", "canonical_name", "canonical_type")
+    stored = entities.select("id", "normalized_name", "type")
+    known = written(stored.select("normalized_name", "type").distinct(), "known")
+    created, front = None, known
+    while True:  # a round without a new name ends it, and names are those of the aliases
+        hit = front.join(a, F.col("normalized_name") == F.col("alias_name")).filter("alias_type is null or alias_type = type")
+        new = hit.select(F.col("canonical_name").alias("normalized_name"), F.col("canonical_type").alias("type")).distinct()
+        front = written(new.join(known, ["normalized_name", "type"], "left_anti"), "created")
+        if not front.limit(1).count():
+            break
+        created = front if created is None else created.unionByName(front)
+        known = written(known.unionByName(front), "known")
+    if created is None:
+        return stored.withColumn("created", F.lit(False))
+    fresh = assign_ids(stored, created, "id", [F.col("normalized_name"), F.col("type")]).select("id", "normalized_name", "type")
+    return stored.withColumn("created", F.lit(False)).unionByName(fresh.withColumn("created", F.lit(True)))
+
+
 def merge_by_aliases(entities: DataFrame, edges: DataFrame, aliases: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
     """(entities left, edges rewritten, (source, target) moves): entities whose normalized_name is (by case) an alias go to
-    the canonical entity of the alias, if that is stored; discards and self-merges are skipped; chains are followed to their
-    end. An edge the target already has wins over a moved one, then the least id."""
+    the canonical entity of the alias, which is created where it is not stored; discards and self-merges are skipped; chains are
+    followed to their end. An edge the target already has wins over a moved one, then the least id."""
     a = aliases.filter(F.col("canonical_type") != DISCARD).select("alias_name", "alias_type", "canonical_name", "canonical_type", F.col("id").alias("_aid"))
+    every = written(with_canonicals(entities, aliases), "every")
+    entities = entities.unionByName(every.filter("created").drop("created"), allowMissingColumns=True)
     src = entities.select(F.col("id").alias("source"), F.col("normalized_name").alias("alias_name"), F.col("type").alias("_type"))
     hit = src.join(a, "alias_name").filter("alias_type is null or alias_type = _type")
     dst = entities.groupBy(F.col("normalized_name").alias("canonical_name"), F.col("type").alias("canonical_type")).agg(F.min("id").alias("target"))
@@ -105,6 +129,19 @@ def sliding_batches(rows: DataFrame, position: str, total: int, size: int = 80,
     return rows.filter(low <= high).select(F.explode(F.sequence(low, high)).alias("batch"), "*")
 
 
+def merge_report(entities: DataFrame, edges: DataFrame, aliases: DataFrame) -> DataFrame:
+    """(source, target, links): what a merge would do, without doing it."""
+    _, _, moves = merge_by_aliases(entities, edges, aliases)
+    links = edges.groupBy(F.col("entity_id").alias("source")).agg(F.count("*").alias("links"))
+    return moves.join(links, "source", "left").select("source", "target", F.coalesce("links", F.lit(0)).alias("links"))
+
+
+def in_chunks(rows: DataFrame, order: list[Column], size: int = 20) -> DataFrame:
+    """``rows`` with the number of their chunk of ``size`` rows in the order, from 0."""
+    none = rows.sparkSession.createDataFrame([], "_at bigint")
+    return assign_ids(none, rows, "_at", order).withColumn("chunk", F.floor((F.col("_at") - 1) / size)).drop("_at")
+
+
 def mention_rollup(mentions: DataFrame, keys: tuple[str, ...] = ("article_id", "normalized_name", "entity_type"), start: str = "start") -> DataFrame:
     """Per key: count, greatest importance, and the first mention's text and context."""
     return mentions.groupBy(*keys).agg(

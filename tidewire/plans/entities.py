@@ -7,8 +7,8 @@ from pyspark.sql import functions as F
 
 from tidewire.functions.text import buckets, noise_class
 from tidewire.operators import entities as ops
-from tidewire.operators.store import delete_keys, keep_first, keep_last, upsert
-from tidewire.session import table
+from tidewire.operators.store import assign_ids, delete_keys, keep_first, keep_last, upsert
+from tidewire.session import table, written
 
 
 def _entities(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -52,6 +52,36 @@ def alias_merge(spark: SparkSession, sf_dir: str) -> DataFrame:
     return moves
 
 
+def merge_report(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What the merge would do: (source, target, links), nothing changed."""
+    return ops.merge_report(_entities(spark, sf_dir), table(spark, sf_dir, "article_entities"), table(spark, sf_dir, "entity_aliases"))
+
+
+def created_canonicals(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The canonicals that aliases of stored entities lead to and that are not stored, under new ids."""
+    return ops.with_canonicals(_entities(spark, sf_dir), table(spark, sf_dir, "entity_aliases")).filter("created").select("id", "normalized_name", "type")
+
+
+def entity_upsert(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The alias table's names as mentions: which canonical entities they make, and which of them are new."""
+    names = table(spark, sf_dir, "entity_aliases").filter("alias_type is not null").select(F.col("id").alias("seq"), F.col("alias_name").alias("name"), F.col("alias_type").alias("type"))
+    return ops.upsert_entities(_entities(spark, sf_dir), names, table(spark, sf_dir, "entity_aliases")).select("normalized_name", "type", "original_name", "is_new")
+
+
+def name_chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All entities in chunks of 20 by type and name."""
+    rows = _entities(spark, sf_dir).select("id", "type", "normalized_name")
+    return ops.in_chunks(rows, [F.col("type"), F.col("normalized_name"), F.col("id")]).select("id", "chunk")
+
+
+def ticker_classes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Names with tickers, braces, pictographs and loose ends put to them: the fault that is found first, and all of them."""
+    e = _entities(spark, sf_dir)
+    forms = F.array(F.concat(F.lit("$GAZP "), "normalized_name"), F.concat("normalized_name", F.lit(" $")), F.concat("normalized_name", F.lit(" {$SBER}")), F.concat("normalized_name", F.lit(" ☀")), F.concat(F.lit("<b>"), "normalized_name"), F.concat("normalized_name", F.lit(",")), F.concat(F.lit("«"), "normalized_name", F.lit("»")), F.lit("ABC_1"))
+    rows = e.select("id", F.posexplode(forms).alias("form", "name"))
+    return rows.select("id", "form", noise_class(F.col("name")).alias("noise"), F.array_join(buckets(F.col("name")), ",").alias("faults"))
+
+
 def alias_merge_links(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The links after the merge: one per article and entity."""
     _, links, _ = ops.merge_by_aliases(_entities(spark, sf_dir), table(spark, sf_dir, "article_entities"), table(spark, sf_dir, "entity_aliases"))
@@ -94,15 +124,16 @@ def tail_set(spark: SparkSession, sf_dir: str) -> DataFrame:
 def sliding_batches(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every frequent entity in overlapping windows of 80 by the order of its last word."""
     f = ops.entity_frequency(_entities(spark, sf_dir), table(spark, sf_dir, "article_entities"), 2)
-    rows = f.select("id", F.row_number().over(Window.orderBy(ops.last_word(F.col("normalized_name")), F.lower("normalized_name"), "id")).alias("n"))
-    rows = rows.withColumn("i", F.col("n") - 1)
-    return ops.sliding_batches(rows, "i", rows.count()).select("batch", "id")
+    f = written(f.select(F.col("id").alias("entity"), ops.last_word(F.col("normalized_name")).alias("last"), F.lower("normalized_name").alias("low")), "frequent")
+    none = spark.createDataFrame([], "n bigint")
+    rows = assign_ids(none, f, "n", [F.col("last"), F.col("low"), F.col("entity")]).select(F.col("entity").alias("id"), (F.col("n") - 1).alias("i"))
+    return ops.sliding_batches(rows, "i", f.count()).select("batch", "id")
 
 
 def mention_rollup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Per article and entity: mentions, greatest importance, the first link's context."""
-    e = table(spark, sf_dir, "article_entities")
-    return e.groupBy("processed_article_id", "entity_id").agg(F.sum("count").alias("mentions"), F.max("importance_score").alias("importance"), F.min_by("context_snippet", "id").alias("context"))
+    """Per article and entity: links, greatest importance, the first link's name and context."""
+    e = table(spark, sf_dir, "article_entities").select("processed_article_id", "entity_id", "importance_score", F.col("entity_id").cast("string").alias("original_name"), "context_snippet", F.col("id").alias("start"))
+    return ops.mention_rollup(e, ("processed_article_id", "entity_id"))
 
 
 def agreement(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -123,22 +154,38 @@ def bucket_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _entities(spark, sf_dir).select("type", F.explode(buckets(F.col("normalized_name"))).alias("bucket")).groupBy("type", "bucket").agg(F.count("*").alias("cnt"))
 
 
-QUERIES = {f.__name__: f for f in (entity_frequency, unaliased_count, link_count, existing_canonicals, entity_ids, alias_resolve, alias_merge, alias_merge_links, alias_union_priority, null_safe_upsert, delete_discards, reference_top_n, tail_set, sliding_batches, mention_rollup, agreement, partial_names, noise_classes, bucket_counts)}
+QUERIES = {f.__name__: f for f in (entity_frequency, unaliased_count, link_count, existing_canonicals, entity_ids, alias_resolve, alias_merge, merge_report, created_canonicals, entity_upsert, name_chunks, ticker_classes, alias_merge_links, alias_union_priority, null_safe_upsert, delete_discards, reference_top_n, tail_set, sliding_batches, mention_rollup, agreement, partial_names, noise_classes, bucket_counts)}
 
 _FREQ = "select e.id, e.normalized_name, e.type, count(distinct a.processed_article_id) as articles from entities e join article_entities a on a.entity_id = e.id group by 1, 2, 3 having count(distinct a.processed_article_id) >= "
 _TOP = f"select *, row_number() over (partition by type order by articles desc, id) as rank from ({_FREQ}5) where type in ('person', 'organization', 'location')"
 _MOVES = """
+known as (
+  select normalized_name as name, type from entities union
+  select x.canonical_name, x.canonical_type from known k
+  join entity_aliases x on x.alias_name = k.name and (x.alias_type is null or x.alias_type = k.type) and x.canonical_type <> 'discard' and x.canonical_name is not null),
+fresh as (select * from known k where not exists (select 1 from entities e where e.normalized_name = k.name and e.type = k.type)),
+every as (
+  select id, normalized_name, type from entities
+  union all select (select max(id) from entities) + row_number() over (order by name, type), name, type from fresh),
 hit as (
-  select e.id as source, d.target, x.alias_type, x.alias_name, x.id as aid from entities e
+  select e.id as source, d.target, x.alias_type, x.alias_name, x.id as aid from every e
   join entity_aliases x on x.alias_name = e.normalized_name and (x.alias_type is null or x.alias_type = e.type) and x.canonical_type <> 'discard'
-  join (select normalized_name, type, min(id) as target from entities group by 1, 2) d on d.normalized_name = x.canonical_name and d.type = x.canonical_type
+  join (select normalized_name, type, min(id) as target from every group by 1, 2) d on d.normalized_name = x.canonical_name and d.type = x.canonical_type
   where d.target <> e.id),
 pairs as (select source, target from (select *, row_number() over (partition by source order by alias_type is null, alias_name, aid) as rn from hit) where rn = 1),
 chain as (select source, target, 1 as depth from pairs union all select c.source, p.target, c.depth + 1 from chain c join pairs p on p.source = c.target where c.depth < 50),
 moves as (select source, target from chain where target not in (select source from pairs) and source <> target)"""
-_EMOJI = r"[\x{1F000}-\x{1FAFF}\x{2600}-\x{27BF}]"
-_TICKER = r"\$[A-Z][A-Z0-9]{1,}|\{\$[^}]+\}|\$\s*$"
-_EDGE = r"^[^\p{L}\p{M}\p{N}\p{Pc}«]|[^\p{L}\p{M}\p{N}\p{Pc}»]$"
+#: A letter of a pictograph by its number; a dollar sign and what follows it; edges by their first and last letter.
+_SYMBOL = "list_bool_or(list_transform(string_split({0}, ''), lambda c: ord(c) between 9728 and 10175 or ord(c) between 126976 and 129791))"
+_DOLLAR = r"(regexp_matches({0}, '\$[A-Z][0-9A-Z]') or regexp_matches({0}, '\$\s*$') or regexp_matches({0}, '[{{]\$[^}}]+[}}]'))"
+_LOOSE = r"({0} <> '' and not regexp_matches({0}, '^[\p{{L}}\p{{M}}\p{{N}}\p{{Pc}}«]') or {0} <> '' and not regexp_matches(right({0}, 1), '[\p{{L}}\p{{M}}\p{{N}}\p{{Pc}}»]'))"
+_BRACKET = "translate({0}, '<>{{}}', '') <> {0}"
+_FIRST_FAULT = f"""case when {_DOLLAR} then 'ticker' when {_SYMBOL} then 'emoji' when {_BRACKET} then 'html_artifact'
+  when length(replace({{0}}, ' ', '')) < 3 then 'too_short' when {_LOOSE} then 'punct_edge' end"""
+_FAULTS = f"""list_filter([case when {_DOLLAR} then 'A_ticker' end, case when {_SYMBOL} then 'A_emoji' end, case when {_BRACKET} then 'A_html_artifact' end,
+  case when regexp_full_match({{0}}, '[A-Z]\\w+') and upper({{0}}) = {{0}} then 'A_caps_latin' end, case when {_LOOSE} then 'A_punct_edge' end,
+  case when length(replace({{0}}, ' ', '')) < 3 then 'B_too_short' end,
+  case when lower({{0}}) = {{0}} and regexp_matches({{0}}, '[А-Яа-яЁё]') then 'B_lower_case' end], lambda x: x is not null)"""
 SQL = {
     "entity_frequency": _FREQ + "5",
     "unaliased_count": """
@@ -157,6 +204,25 @@ with m as (
 r as (select id, translate(coalesce(canonical_name, substr(original_name, 1, 500)), 'ёЁ', 'еЕ') as n, coalesce(canonical_type, type) as canonical_type from m where rn = 1)
 select id, upper(substr(n, 1, 1)) || substr(n, 2) as canonical_name, canonical_type from r where canonical_type <> 'discard'""",
     "alias_merge": f"with recursive {_MOVES} select distinct source, target from moves",
+    "merge_report": f"""with recursive {_MOVES}
+select m.source, m.target, count(a.id) as links from (select distinct source, target from moves) m left join article_entities a on a.entity_id = m.source group by 1, 2""",
+    "created_canonicals": f"with recursive {_MOVES} select id, normalized_name, type from every where id > (select max(id) from entities)",
+    "entity_upsert": """
+with m as (
+  select x.id, x.alias_name as name, x.alias_type as type, a.canonical_name, a.canonical_type,
+    row_number() over (partition by x.id order by a.alias_type is null, a.alias_name, a.id) as rn
+  from entity_aliases x left join entity_aliases a on lower(a.alias_name) = lower(x.alias_name) and (a.alias_type = x.alias_type or a.alias_type is null)
+  where x.alias_type is not null),
+r as (select id, name, translate(coalesce(canonical_name, substr(name, 1, 500)), 'ёЁ', 'еЕ') as n, coalesce(canonical_type, type) as type from m where rn = 1),
+k as (select id, name, upper(substr(n, 1, 1)) || substr(n, 2) as normalized_name, type from r where type <> 'discard'),
+f as (select *, row_number() over (partition by normalized_name, type order by id) as rn from k)
+select f.normalized_name, f.type, f.name as original_name, not exists (select 1 from entities e where e.normalized_name = f.normalized_name and e.type = f.type) as is_new from f where rn = 1""",
+    "name_chunks": "select id, (row_number() over (order by type, normalized_name, id) - 1) // 20 as chunk from entities",
+    "ticker_classes": f"""
+with f as (select id, unnest([{{'form': 0, 'name': '$GAZP ' || normalized_name}}, {{'form': 1, 'name': normalized_name || ' $'}}, {{'form': 2, 'name': normalized_name || ' {{$SBER}}'}},
+  {{'form': 3, 'name': normalized_name || ' ☀'}}, {{'form': 4, 'name': '<b>' || normalized_name}}, {{'form': 5, 'name': normalized_name || ','}},
+  {{'form': 6, 'name': '«' || normalized_name || '»'}}, {{'form': 7, 'name': 'ABC_1'}}], recursive := true) from entities)
+select id, cast(form as integer) as form, {_FIRST_FAULT.format('name')} as noise, array_to_string({_FAULTS.format('name')}, ',') as faults from f""",
     "alias_merge_links": f"""with recursive {_MOVES},
 moved as (select a.id, a.processed_article_id, coalesce(m.target, a.entity_id) as entity_id, m.target is not null as moved from article_entities a left join (select distinct * from moves) m on m.source = a.entity_id)
 select id, processed_article_id, entity_id from (select *, row_number() over (partition by processed_article_id, entity_id order by moved, id) as rn from moved) where rn = 1""",
@@ -184,7 +250,8 @@ b as (select *, unnest(range(0, 100000)) as batch from (select * from r where fa
       on g.batch * 50 <= r.i and r.i < g.batch * 50 + 80)
 select cast(batch as integer) as batch, id from b where batch <= case when n <= 80 then 0 else cast(ceil((n - 80) / 50.0) as bigint) end""",
     "mention_rollup": """
-select processed_article_id, entity_id, cast(sum(count) as bigint) as mentions, max(importance_score) as importance, arg_min(context_snippet, id) filter (context_snippet is not null) as context
+select processed_article_id, entity_id, count(*) as count, max(importance_score) as importance_score, cast(entity_id as varchar) as original_name,
+  (min_by(struct_pack(c := context_snippet), id)).c as context_snippet
 from article_entities group by 1, 2""",
     "agreement": """
 with l as (select distinct processed_article_id, entity_id from article_entities where importance_score >= 0.5), r as (select distinct processed_article_id, entity_id from article_entities where count >= 2)
@@ -194,15 +261,8 @@ select (select count(*) from (select * from l intersect select * from r)) as com
 with n as (select distinct normalized_name as n, type from entities), w as (select n, type, regexp_split_to_array(lower(trim(n)), '\s+') as ws from n),
 l as (select n as long, type, unnest(list_distinct(ws)) as w from w where len(list_distinct(ws)) > 1), s as (select n as short, type, ws[1] as w from w where len(list_distinct(ws)) = 1)
 select distinct s.short, l.long, s.type from s join l using (w, type)""",
-    "noise_classes": f"""
-select id, case when regexp_matches(normalized_name, '{_TICKER}') then 'ticker' when regexp_matches(normalized_name, '{_EMOJI}') then 'emoji'
-  when regexp_matches(normalized_name, '[<>{{}}]') then 'html_artifact' when length(replace(normalized_name, ' ', '')) < 3 then 'too_short'
-  when regexp_matches(normalized_name, '{_EDGE}') then 'punct_edge' else 'none' end as noise from entities""",
+    "noise_classes": f"select id, coalesce({_FIRST_FAULT.format('normalized_name')}, 'none') as noise from entities",
     "bucket_counts": f"""
-with b as (select type, unnest(list_filter([
-  case when regexp_matches(normalized_name, '{_TICKER}') then 'A_ticker' end, case when regexp_matches(normalized_name, '{_EMOJI}') then 'A_emoji' end,
-  case when regexp_matches(normalized_name, '[<>{{}}]') then 'A_html_artifact' end, case when regexp_matches(normalized_name, '^[A-Z][A-Z0-9_]+$') then 'A_caps_latin' end,
-  case when regexp_matches(normalized_name, '{_EDGE}') then 'A_punct_edge' end, case when length(replace(normalized_name, ' ', '')) < 3 then 'B_too_short' end,
-  case when lower(normalized_name) = normalized_name and regexp_matches(normalized_name, '[А-Яа-яЁё]') then 'B_lower_case' end], lambda x: x is not null)) as bucket from entities)
+with b as (select type, unnest({_FAULTS.format('normalized_name')}) as bucket from entities)
 select type, bucket, count(*) as cnt from b group by 1, 2""",
 }

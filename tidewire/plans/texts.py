@@ -133,7 +133,7 @@ def daily_rollup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def brief(spark: SparkSession, sf_dir: str) -> DataFrame:
     s = table(spark, sf_dir, "summarizations")
-    return summaries.brief(s, "2026-01-31 12:00:00Z", 168).select("id", "line")
+    return summaries.brief(s, "2026-01-02 00:00:00Z", 168).select("id", "line")
 
 
 def digests(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -179,9 +179,9 @@ b as (select *, case when length(line) > length(sentence) then line else sentenc
 c as (select *, trim(case when length(longer) < 20 then substr(t, 1, 100) else longer end, ' ') as title from b),
 d as (select *, case when au <> '' and au <> 'Аноним' then au || ': ' || title else title end as full_title from c)
 select id, case when coalesce(t, '') = '' then 'Без заголовка' when length(full_title) > 200 then substr(full_title, 1, 200) || '...' else full_title end as title from d""",
-    "noise_lines": """
-select id, md5(array_to_string(list_filter(string_split(raw_text, chr(10)), lambda x: not (contains(lower(x), 'оставайтесь на связи') or contains(lower(x), 'читайте рбк')
-  or contains(lower(x), 'рбк в «максе»') or contains(lower(x), 'рбк в max') or contains(lower(x), 'материал дополняется') or contains(lower(x), '[ рбк ]'))), chr(10))) as kept
+    "noise_lines": r"""
+select id, md5(regexp_replace(array_to_string(list_filter(string_split(raw_text, chr(10)), lambda x: not (contains(lower(x), 'оставайтесь на связи') or contains(lower(x), 'читайте рбк')
+  or contains(lower(x), 'рбк в «максе»') or contains(lower(x), 'рбк в max') or contains(lower(x), 'материал дополняется') or contains(lower(x), '[ рбк ]'))), chr(10)), '^[\s\p{Z}]+|[\s\p{Z}]+$', '', 'g')) as kept
 from raw_articles where raw_text is not null""",
     "canonical_names": "select id, upper(substr(translate(normalized_name, 'ёЁ', 'еЕ'), 1, 1)) || substr(translate(normalized_name, 'ёЁ', 'еЕ'), 2) as name from entities",
     "escaped": r"""
@@ -208,7 +208,7 @@ l as (select make_timestamp(epoch_us(period_end)) as moment, strftime(make_times
 select cast(moment as date) as day, md5(string_agg(line, chr(10) order by moment)) as text_md5, cast(count(*) as integer) as hours from l group by 1""",
     "brief": """
 select id, coalesce(content.summary, 'Нет данных') as line from summarizations where period_type = 'hour'
-and epoch_us(period_end) between epoch_us(timestamp '2026-01-24 12:00:00') and epoch_us(timestamp '2026-01-31 12:00:00') order by period_end desc, id desc limit 12""",
+and epoch_us(period_end) between epoch_us(timestamp '2025-12-26 00:00:00') and epoch_us(timestamp '2026-01-02 00:00:00') order by period_end desc, id desc limit 12""",
     "digests": """
 select id, md5(case when content is null then 'Нет данных' else coalesce(content.summary, '') || chr(10) || array_to_string(list_slice(coalesce(content.topics, []), 1, 3), ', ')
   || case when coalesce(content.trend, '') <> '' then chr(10) || content.trend else '' end end) as text_md5 from summarizations where period_type = 'day'""",

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import os
+import re
 import shutil
 import tempfile
 import uuid
@@ -27,9 +28,12 @@ def build_session(app: str = "tidewire", cores: str = "*", **conf: str) -> Spark
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder all executors share: spark.checkpoint.dir; only where it is unset (tests), a local one."""
+    """The folder all executors share: spark.checkpoint.dir. Where it is unset, a session of one machine (tests) gets a folder
+    of its own; on a cluster that is an error."""
     known = spark.conf.get("spark.checkpoint.dir", None)
     if not known:
+        if not re.fullmatch(r"local(\[.*\])?", spark.sparkContext.master):
+            raise RuntimeError("spark.checkpoint.dir names no folder that all executors share")
         known = "file://" + os.path.join(tempfile.gettempdir(), "tidewire-shared")
     return known.rstrip("/")
 
@@ -47,6 +51,12 @@ def written(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def drop_written(spark: SparkSession) -> None:
+    """Deletes the intermediate tables below the shared folder; for the owner of a session whose results are stored."""
+    where = spark._jvm.org.apache.hadoop.fs.Path(f"{shared_dir(spark)}/tidewire")
+    where.getFileSystem(spark._jsc.hadoopConfiguration()).delete(where, True)
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
