@@ -16,6 +16,24 @@ def utc_bound(local_text: str, tz: str) -> Column:
     return F.convert_timezone(F.lit(tz), F.lit("UTC"), F.lit(local_text).cast("timestamp_ntz"))
 
 
+def to_zone(ts: Column, tz: str) -> Column:
+    """The wall clock of an instant (UTC wall clock, timestamp_ntz) in a zone; null stays null."""
+    return F.convert_timezone(F.lit("UTC"), F.lit(tz), ts.cast("timestamp_ntz"))
+
+
+def from_zone(wall: Column, tz: str) -> Column:
+    """The instant, as UTC wall clock, of a wall clock in a zone; null stays null."""
+    return F.convert_timezone(F.lit(tz), F.lit("UTC"), wall.cast("timestamp_ntz"))
+
+
+NO_DATE = "Дата неизвестна"
+
+
+def display_date(wall: Column, with_time: bool = True) -> Column:
+    """Day, month and year, with hour and minute where asked for; a fixed text for no date."""
+    return F.coalesce(F.date_format(wall, "dd.MM.yyyy HH:mm" if with_time else "dd.MM.yyyy"), F.lit(NO_DATE))
+
+
 def hour_spine(spark: SparkSession, last_hour: str, hours: int = 24) -> DataFrame:
     """``hours`` consecutive hour buckets ending with ``last_hour``, as timestamp_ntz column ``hour``."""
     end = F.lit(last_hour).cast("timestamp_ntz")

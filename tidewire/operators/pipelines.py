@@ -8,19 +8,21 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from tidewire.functions.replies import parse_cleanup, parse_entities
-from tidewire.functions.text import buckets, canonical_name, noise_class
+from tidewire.functions.text import buckets, canonical_name, importance_label, noise_class
 from tidewire.operators import entities as ent
 from tidewire.operators import extract as ext
 from tidewire.operators.store import assign_ids, delete_keys, keep_first, upsert
 from tidewire.operators.summaries import complete
 from tidewire.session import written
+from tidewire.sources.landed import day_spine
 
 TEXT_LIMIT = 8000  # what a language model reads of an article; a parameter of its prompt, not of any result here
 
 
 def processed_articles(existing: DataFrame, cleaned: DataFrame) -> DataFrame:
-    """New processed articles (raw_article_id, title, text) under fresh ids; stored ones keep id, title and text."""
-    fresh = cleaned.select(F.col("id").alias("raw_article_id"), F.substring("title", 1, 10_000).alias("title"), F.substring("text", 1, 100_000).alias("text"))
+    """New processed articles (raw_article_id, title, text) under fresh ids; stored ones keep id, title and text. Texts are
+    stored whole."""
+    fresh = cleaned.select(F.col("id").alias("raw_article_id"), "title", "text")
     fresh = fresh.join(existing.select("raw_article_id"), "raw_article_id", "left_anti")
     return assign_ids(existing, fresh, "id", [F.col("raw_article_id")]).select("id", "raw_article_id", "title", "text")
 
@@ -84,11 +86,12 @@ def cleanup(entities: DataFrame, links: DataFrame, aliases: DataFrame, client: C
     tail = frequent.join(head.select("id"), "id", "left_anti").select("id", "normalized_name", "type")
 
     def batches(rows: DataFrame, part: str, order) -> DataFrame:
-        # The list of frequent names is what a person would read through: one ordered list is its definition.
-        ranked = written(rows.withColumn("i", F.row_number().over(Window.orderBy(*order)) - 1), "ranked")
+        none = rows.sparkSession.createDataFrame([], "n bigint")
+        rows = rows.withColumn("_last", ent.last_word(F.col("normalized_name"))).withColumn("_low", F.lower("normalized_name"))
+        ranked = written(assign_ids(none, rows, "n", [F.col(c) for c in order]).withColumn("i", F.col("n") - 1).drop("n", "_last", "_low"), "ranked")
         return ent.sliding_batches(ranked, "i", ranked.count(), size, step).withColumn("part", F.lit(part))
 
-    rows = batches(head, "head", [F.lower("normalized_name"), "id"]).unionByName(batches(tail, "tail", [ent.last_word(F.col("normalized_name")), F.lower("normalized_name"), "id"]))
+    rows = batches(head, "head", ["_low", "id"]).unionByName(batches(tail, "tail", ["_last", "_low", "id"]))
     listed = rows.groupBy("part", "batch").agg(F.array_sort(F.collect_list(F.struct("i", "normalized_name", "type"))).alias("names"))  # at most ``size`` a batch
     prompts = listed.select("part", "batch", F.to_json(F.transform("names", lambda x: F.struct(x["normalized_name"].alias("name"), x["type"].alias("type")))).alias("prompt"))
     replies = written(complete(prompts, client).withColumn("r", parse_cleanup(F.col("reply"))), "replies")
@@ -118,6 +121,44 @@ def compare_engines(left: DataFrame, right: DataFrame) -> DataFrame:
     return per.withColumn("per_article", F.round(F.col("total") / F.col("articles"), 3)).join(F.broadcast(agreement))
 
 
+def engine_profile(mentions: DataFrame) -> DataFrame:
+    """(engine, type, importance, cnt) of (engine, entity_type, importance_score) rows."""
+    return mentions.groupBy("engine", F.col("entity_type").alias("type"), importance_label(F.col("importance_score")).alias("importance")).agg(F.count("*").alias("cnt"))
+
+
+#: Importance labels in the order of display.
+LABELS = ("subject", "key", "mention")
+
+
+def only_left(left: DataFrame, right: DataFrame, keys: tuple[str, ...] = ("article_id", "normalized_name", "entity_type")) -> DataFrame:
+    """The left engine's mentions the right one has not, with the place ``rank`` of their importance for the order of display
+    (rank, type, name)."""
+    rows = left.join(right.select(*keys).distinct(), list(keys), "left_anti")
+    return rows.withColumn("rank", F.array_position(F.array(*[F.lit(x) for x in LABELS]), importance_label(F.col("importance_score"))).cast("int"))
+
+
+def backfill(spark: SparkSession, first: str, last: str, run: Callable[[str], int]) -> DataFrame:
+    """(day, rows, error): a period day by day; a day that fails is listed with its error and the others go on. Each day is a job of
+    its own by definition, so that a failed one can be run again."""
+    out = []
+    for r in day_spine(spark, first, last).collect():  # a row a day
+        day = r["day"].isoformat()
+        try:
+            out.append((day, int(run(day)), None))
+        except Exception as e:  # noqa: BLE001
+            out.append((day, None, f"{type(e).__name__}: {e}"[:500]))
+    return spark.createDataFrame(out, "day string, rows bigint, error string")
+
+
+def write_report(rows: DataFrame, path: str) -> None:
+    """A report as JSON lines, for people to read and to hand back."""
+    rows.write.mode("overwrite").json(path)
+
+
+def read_report(spark: SparkSession, path: str, schema: str) -> DataFrame:
+    return spark.read.schema(schema).json(path)
+
+
 def diagnose(mentions: DataFrame, examples: int = 10) -> DataFrame:
     """(bucket, cnt, share, examples): faulty names among an engine's mentions, with the first examples by name."""
     rows = mentions.filter("normalized_name is not null").select("normalized_name", F.explode(buckets(F.col("normalized_name"))).alias("bucket"))

@@ -84,6 +84,23 @@ def set_status(rows: DataFrame, changes: DataFrame, id_col: str = "id") -> DataF
     return rows.join(c, rows[id_col] == c["_id"], "left").withColumn("status", F.coalesce("_status", "status")).drop("_id", "_status")
 
 
+def replace_values(rows: DataFrame, changes: DataFrame, column: str, id_col: str = "id") -> DataFrame:
+    """``changes``: (id, column), one row an id; the whole value is replaced, a struct or document too."""
+    c = changes.select(F.col(id_col).alias("_id"), F.col(column).alias("_new"), F.lit(True).alias("_hit"))
+    new = F.when(F.col("_hit"), F.col("_new")).otherwise(F.col(column))
+    return rows.join(c, rows[id_col] == c["_id"], "left").withColumn(column, new).drop("_id", "_new", "_hit")
+
+
+def with_defaults(rows: DataFrame, defaults: dict[str, Column]) -> DataFrame:
+    """Columns that are missing or null get their default."""
+    return rows.withColumns({c: F.coalesce(F.col(c), v) if c in rows.columns else v for c, v in defaults.items()})
+
+
+def not_unique(rows: DataFrame, keys: Sequence[str]) -> DataFrame:
+    """(keys, cnt): keys that several rows have; null keys are no fault, as in a database."""
+    return rows.dropna(subset=list(keys)).groupBy(*keys).agg(F.count("*").alias("cnt")).filter("cnt > 1")
+
+
 def reset_status(rows: DataFrame, states: Sequence[str] = ("processed", "failed", "processing")) -> DataFrame:
     return rows.withColumn("status", F.when(F.col("status").isin(*states), "raw").otherwise(F.col("status")))
 
@@ -171,6 +188,10 @@ class TableStore:
         number = self.version(name) + 1
         return self._commit(name, [*self.parts(name, number - 1), self._part(name, rows)], number)
 
+    def truncate(self, name: str) -> int:
+        """The table without rows; new ids start again at 1."""
+        return self.write(name, self.read(name).limit(0))
+
     def compact(self, name: str, most: int, how: Callable[[DataFrame], DataFrame] = lambda rows: rows) -> None:
         """Rewrites a table of more than ``most`` parts as one, through ``how``."""
         if len(self.parts(name)) > most:

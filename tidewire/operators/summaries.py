@@ -61,6 +61,32 @@ def summarise(posts: DataFrame, client: Callable[[str], str], ts: str, tz: str,
     return rows.select("hour", parse_summary(F.col("reply")).alias("content"), "articles_count", "sources_count", p.alias("prompt_tokens"), c.alias("completion_tokens"), cost(p, c).alias("cost_usd"))
 
 
+def with_meta(content: Column, model: str, posts: Column) -> Column:
+    """A summary document with what made it: the model and the number of posts."""
+    return F.struct(content["topics"].alias("topics"), content["summary"].alias("summary"), content["trend"].alias("trend"), content["important_events"].alias("important_events"), F.struct(F.lit(model).alias("model"), posts.alias("posts")).alias("_meta"))
+
+
+def summarise_new(stored: DataFrame, posts: DataFrame, client: Callable[[str], str], ts: str, tz: str, title: str, text: str, source: str, least: int = 3) -> DataFrame:
+    """Summaries (hour, content, ...) of the hours that ``stored`` (hour, content) has none of. The prompt of an hour opens with the
+    summary of the hour before, where there is one."""
+    rows = posts.withColumn("_hour", local_hour(F.col(ts), tz))
+    rows = rows.join(stored.select(F.col("hour").alias("_hour")).distinct(), "_hour", "left_anti").drop("_hour")
+    counts = hourly_counts(rows, ts, source, tz, least)
+    before = stored.select((F.col("hour") + F.expr("INTERVAL 1 HOUR")).alias("hour"), F.col("content.summary").alias("before"))
+    made = prompts(rows, ts, tz, title, text, source).join(counts, "hour").join(before, "hour", "left")
+    made = made.withColumn("prompt", F.when(F.coalesce("before", F.lit("")) != "", F.concat("before", F.lit("\n\n"), "prompt")).otherwise(F.col("prompt"))).drop("before")
+    done = complete(made, client).filter("reply is not null")
+    p, c = F.ceil(F.length("prompt") / 4).cast("int"), F.ceil(F.length("reply") / 4).cast("int")
+    return done.select("hour", parse_summary(F.col("reply")).alias("content"), "articles_count", "sources_count", p.alias("prompt_tokens"), c.alias("completion_tokens"), cost(p, c).alias("cost_usd"))
+
+
+def last_of_day(summaries: DataFrame, first: str, last: str, most_topics: int = 5) -> DataFrame:
+    """(id, summary, topics): the first daily summary within the bounds of a day, with at most ``most_topics`` topics."""
+    rows = summaries.filter((F.col("period_type") == "day") & (F.col("period_end") >= F.lit(first).cast("timestamp")) & (F.col("period_end") <= F.lit(last).cast("timestamp")))
+    rows = rows.orderBy("period_end", "id").limit(1)
+    return rows.select("id", F.coalesce("content.summary", F.lit("Нет данных")).alias("summary"), F.slice(F.coalesce("content.topics", F.array().cast("array<string>")), 1, most_topics).alias("topics"))
+
+
 def daily_rollup(hourly: DataFrame, start: str = "hour", summary: str = "content.summary", topics: str = "content.topics") -> DataFrame:
     """(day, text, hours): the hours' summaries in order, each with its first three topics."""
     line = F.concat(F.date_format(start, "HH:mm"), F.lit(": "), F.coalesce(F.col(summary), F.lit("")), F.lit(" ("), F.array_join(F.slice(F.coalesce(F.col(topics), F.array().cast("array<string>")), 1, 3), ", "), F.lit(")"))

@@ -2,11 +2,11 @@
 
 from __future__ import annotations
 
-from tidewire.plans import activity, changes, entities, texts, timestamps
+from tidewire.plans import activity, changes, entities, landing, texts, timestamps
 
 
 def _modules():
-    return (activity, entities, texts, changes, timestamps)
+    return (activity, entities, texts, changes, landing, timestamps)
 
 
 def core_queries() -> dict:

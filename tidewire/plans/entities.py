@@ -58,8 +58,9 @@ def merge_report(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def created_canonicals(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The canonicals that aliases of stored entities lead to and that are not stored, under new ids."""
-    return ops.with_canonicals(_entities(spark, sf_dir), table(spark, sf_dir, "entity_aliases")).filter("created").select("id", "normalized_name", "type")
+    """Canonicals under names that no entity has (each with a star): those that aliases of stored entities lead to, under new ids."""
+    aliases = table(spark, sf_dir, "entity_aliases").withColumn("canonical_name", F.concat("canonical_name", F.lit(" *")))
+    return ops.with_canonicals(_entities(spark, sf_dir), aliases).filter("created").select("id", "normalized_name", "type")
 
 
 def entity_upsert(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -177,6 +178,7 @@ chain as (select source, target, 1 as depth from pairs union all select c.source
 moves as (select source, target from chain where target not in (select source from pairs) and source <> target)"""
 #: A letter of a pictograph by its number; a dollar sign and what follows it; edges by their first and last letter.
 _SYMBOL = "list_bool_or(list_transform(string_split({0}, ''), lambda c: ord(c) between 9728 and 10175 or ord(c) between 126976 and 129791))"
+_STARRED = "(select id, alias_name, alias_type, canonical_name || ' *' as canonical_name, canonical_type from entity_aliases) x"
 _DOLLAR = r"(regexp_matches({0}, '\$[A-Z][0-9A-Z]') or regexp_matches({0}, '\$\s*$') or regexp_matches({0}, '[{{]\$[^}}]+[}}]'))"
 _LOOSE = r"({0} <> '' and not regexp_matches({0}, '^[\p{{L}}\p{{M}}\p{{N}}\p{{Pc}}«]') or {0} <> '' and not regexp_matches(right({0}, 1), '[\p{{L}}\p{{M}}\p{{N}}\p{{Pc}}»]'))"
 _BRACKET = "translate({0}, '<>{{}}', '') <> {0}"
@@ -206,7 +208,7 @@ select id, upper(substr(n, 1, 1)) || substr(n, 2) as canonical_name, canonical_t
     "alias_merge": f"with recursive {_MOVES} select distinct source, target from moves",
     "merge_report": f"""with recursive {_MOVES}
 select m.source, m.target, count(a.id) as links from (select distinct source, target from moves) m left join article_entities a on a.entity_id = m.source group by 1, 2""",
-    "created_canonicals": f"with recursive {_MOVES} select id, normalized_name, type from every where id > (select max(id) from entities)",
+    "created_canonicals": f"with recursive {_MOVES.replace('entity_aliases x', _STARRED)} select id, normalized_name, type from every where id > (select max(id) from entities)",
     "entity_upsert": """
 with m as (
   select x.id, x.alias_name as name, x.alias_type as type, a.canonical_name, a.canonical_type,

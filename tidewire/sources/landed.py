@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from tidewire.functions.text import NO_TITLE, article_id, author_name, cut, cut_with_mark, post_id, post_title
@@ -45,8 +45,7 @@ def feed_articles(items: DataFrame, sections: list[str] | None = None, skip: tup
     for part in skip:
         rows = rows.filter(~F.contains("url", F.lit(part)))
     if category is not None:
-        none = (F.size(F.coalesce("categories", F.array().cast("array<string>"))) == 0)
-        rows = rows.filter(none | F.exists("categories", lambda c: F.contains(F.lower(c), F.lit(category.lower()))))
+        rows = rows.filter(category_of_feed(F.col("categories"), category))
     order = F.array_position(F.array(*[F.lit(s) for s in sections]), F.col("section")) if sections else F.lit(0)
     rows = keep_first(rows, ["url"], [order, F.col("position")])
     content = F.when(F.length("full_text") >= min_length, F.col("full_text")).when(F.length("summary") >= min_length, F.col("summary"))
@@ -63,6 +62,54 @@ def sitemap_entries(texts: DataFrame, value: str = "value", article_url: str = r
     return rows.filter("us is not null").select("url", F.timestamp_micros("us").alias("lastmod"))
 
 
+def sitemap_bounds(entries: DataFrame, name: str = "name") -> DataFrame:
+    """(name, low, high): the first and last day of each sitemap's entries; small, and kept between scans of a period."""
+    return entries.groupBy(name).agg(F.min("lastmod").alias("low"), F.max("lastmod").alias("high"))
+
+
+def sitemap_day(entries: DataFrame, bounds: DataFrame, day: str, name: str = "name") -> DataFrame:
+    """(url, lastmod) of the day, from those sitemaps only that can hold it."""
+    rows = entries.join(F.broadcast(prune_sitemaps(bounds, day).select(name)), name, "left_semi")  # a row a sitemap
+    return rows.filter(F.to_date("lastmod") == F.lit(day).cast("date")).select("url", "lastmod")
+
+
+def page_links(pages: DataFrame, pattern: str, day: str = "day", page: str = "page", value: str = "value", most_pages: int | None = None, most_links: int | None = None) -> DataFrame:
+    """(day, url, number): the links of archive or search pages, the first of each url of a day, in the order of pages and
+    places. Pages after the ``most_pages``-th and links after the ``most_links``-th of a day are left out where these are given:
+    the limits are those of a site's archive."""
+    rows = pages if most_pages is None else pages.filter(F.col(page) <= most_pages)
+    links = rows.select(F.col(day).alias("day"), F.col(page).alias("page"), F.posexplode(F.regexp_extract_all(F.col(value), F.lit(pattern), F.lit(1))).alias("pos", "url"))
+    first = links.groupBy("day", "url").agg(F.min(F.struct("page", "pos")).alias("at"))
+    first = first.withColumn("number", F.row_number().over(Window.partitionBy("day").orderBy("at")))
+    return (first if most_links is None else first.filter(F.col("number") <= most_links)).select("day", "url", "number")
+
+
+def category_of_feed(categories: Column, wanted: str) -> Column:
+    """Feeds: a category holds the wanted word, ignoring case; items without category pass."""
+    none = F.size(F.coalesce(categories, F.array().cast("array<string>"))) == 0
+    return none | F.coalesce(F.exists(categories, lambda c: F.contains(F.lower(c), F.lit(wanted.lower()))), F.lit(False))
+
+
+def category_of_archive(category: Column, wanted: str) -> Column:
+    """Archives: the category is the wanted one; none fails."""
+    return F.coalesce(category == wanted, F.lit(False))
+
+
+def valid_post(url: Column, content: Column, author: Column, tickers: Column, min_content: int = 10) -> Column:
+    ok = (F.coalesce(url, F.lit("")) != "") & (F.length(content) >= min_content) & (F.coalesce(author, F.lit("")) != "") & (F.size(tickers) > 0)
+    return F.coalesce(ok, F.lit(False))
+
+
+def newest_first(rows: DataFrame, at: str, most: int, tie: str = "id") -> DataFrame:
+    """The ``most`` newest rows; those without a date come last."""
+    return rows.orderBy(F.desc_nulls_last(at), F.col(tie)).limit(most)
+
+
+def parsed_item(url: Column, title: Column, content: Column, published: Column) -> Column:
+    """An item as a source hands it over, with its length."""
+    return F.struct(url.alias("url"), title.alias("title"), content.alias("content"), published.alias("published_at"), F.struct(F.length(content).alias("text_length")).alias("metadata"))
+
+
 def prune_sitemaps(bounds: DataFrame, day: str) -> DataFrame:
     """The sitemaps (name, low, high) that can hold the day: min/max pruning before any is read."""
     d = F.lit(day).cast("date")
