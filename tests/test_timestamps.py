@@ -119,3 +119,18 @@ def test_session_zone_does_not_matter(spark, zone):
     finally:
         spark.conf.set("spark.sql.session.timeZone", before)
     assert F is not None
+
+
+def test_histories_are_those_of_the_zone_table():
+    from tidewire.operators.timestamps import offset_histories
+
+    zones = offset_histories(2009, 2026)
+    assert zones[0] == "Europe/Moscow" and len(zones) > 100 and "Europe/Simferopol" in zones
+    assert len(offset_histories(2020, 2020)) < len(zones)  # fewer changes, fewer histories
+
+
+def test_the_estimate_alone_finds_declared_zones(spark, sf):
+    from tidewire.plans.timestamps import p2_agreement
+
+    got = {r["tbl"]: (r["equal"], r["cnt"]) for r in p2_agreement(spark, sf).collect()}
+    assert got["summarizations"][0] == got["summarizations"][1] and got["raw_articles"][0] >= 0.9 * got["raw_articles"][1]
