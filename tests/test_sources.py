@@ -2,10 +2,13 @@
 
 import json
 
+import pytest
 from pyspark.sql import functions as F
 
+from tidewire.operators.store import TableStore
 from tidewire.sources import landed
-from tidewire.sources.paged import PagedSource, fetch
+from tidewire.sources.paged import NotThere, PagedSource, TooMany, fetch
+from tidewire.sources.registry import Registry, Source, ingest
 
 FEED = """<rss><channel>
 <item><link>https://x.example/1</link><link>https://x.example/alt</link><title> Один </title><description>{d}</description><category>Спорт</category></item>
@@ -35,10 +38,10 @@ def test_sitemap(spark):
 
 
 def test_posts_and_archive(spark):
-    page = {"items": [{"id": "1", "inserted": "2026-04-28T21:28:25.102Z", "owner": {"nickname": "", "name": "Имя"}, "content": {"text": "Первое предложение поста подлиннее. Второе", "instruments": [{"ticker": "SBER"}, {"ticker": ""}], "images": [{"url": "u"}, {}]}, "reactions": {"totalCount": 5}}, {"id": "2", "content": {"text": "x"}}], "hasNext": False}
+    page = {"items": [{"id": "1", "inserted": "2025-02-03T04:05:06.789Z", "owner": {"nickname": "", "name": "Имя"}, "content": {"text": "Сегодня на реке начался ледоход. Смотрите", "instruments": [{"ticker": "LES"}, {"ticker": ""}], "images": [{"url": "u"}, {}]}, "reactions": {"totalCount": 5}}, {"id": "2", "content": {"text": "x"}}], "hasNext": False}
     posts = landed.post_pages(spark.createDataFrame([(json.dumps(page),)], "value string"))
     rows = {r["post_id"]: r for r in posts.collect()}
-    assert rows["1"]["title"] == "Имя: Первое предложение поста подлиннее. Второе [SBER]" and len(rows["1"]["media"]) == 1
+    assert rows["1"]["title"] == "Имя: Сегодня на реке начался ледоход. Смотрите [LES]" and len(rows["1"]["media"]) == 1
     assert rows["2"]["author"] == "Аноним" and rows["2"]["tickers"] == []
     assert landed.filter_posts(posts, min_reactions=1, has_images=True, author="Имя").count() == 1
     pages = [(1, json.dumps({"items": [{"type": "article", "fronturl": "https://a/1", "title": "t", "publish_date_t": 0}, {"type": "photogallery", "fronturl": "https://a/2"}, {"type": "x", "fronturl": "http://b/3"}], "moreExists": True})), (2, json.dumps({"items": [{"type": "x", "fronturl": "https://a/1"}], "moreExists": False})), (3, json.dumps({"items": [{"type": "x", "fronturl": "https://a/9"}], "moreExists": False}))]
@@ -82,3 +85,59 @@ def test_fetch_tries_again():
         return [], None, False
 
     assert fetch(flaky, "a", None) == ([], None, False) and len(calls) == 3
+
+
+def test_fetch_of_missing_and_refused_pages():
+    calls = []
+
+    def gone(topic, cursor):
+        calls.append(1)
+        raise NotThere(topic)
+
+    with pytest.raises(NotThere):
+        fetch(gone, "a", None)
+    assert len(calls) == 1  # no second try
+
+    def busy(topic, cursor):
+        calls.append(1)
+        if len(calls) < 3:
+            raise TooMany
+        return [1], None, False
+
+    assert fetch(busy, "a", None, pause=0.0) == ([1], None, False)
+
+
+def test_a_scan_goes_on_where_it_ended(spark):
+    spark.dataSource.register(PagedSource)
+    read = lambda **o: spark.read.format("tidewire_paged").options(topics="A,B", client="tests.test_sources:pages", **o).load()
+    first = read(pages="2").collect()
+    resume = {r["topic"]: r["cursor"] for r in first if r["value"] is None}
+    assert resume == {"A": "2", "B": "2"} and len(first) == 10
+    rest = read(cursors=json.dumps(resume)).collect()
+    assert len(rest) == 4 and not {r["value"] for r in first} & {r["value"] for r in rest}
+
+
+def test_rules_of_categories_and_posts(spark):
+    rows = spark.createDataFrame([(["Спорт"], "Спорт"), (["Автоспорт", "x"], "спорт"), ([], None), (None, ""), (["Наука"], "Наука")], "c array<string>, one string")
+    got = [tuple(r) for r in rows.select(landed.category_of_feed(F.col("c"), "спорт"), landed.category_of_archive(F.col("one"), "Спорт")).collect()]
+    assert got == [(True, True), (True, False), (True, False), (True, False), (False, False)]
+    posts = spark.createDataFrame([("u", "x" * 10, "a", ["T"]), ("u", "x" * 9, "a", ["T"]), ("", "x" * 10, "a", ["T"]), ("u", "x" * 10, "", ["T"]), ("u", "x" * 10, "a", []), (None, None, None, None)], "u string, t string, a string, k array<string>")
+    assert [r[0] for r in posts.select(landed.valid_post(F.col("u"), F.col("t"), F.col("a"), F.col("k"))).collect()] == [True] + [False] * 5
+
+
+def test_registry(spark, tmp_path):
+    def read(spark, rows, note="-"):
+        return spark.createDataFrame(rows, "id int, url string").withColumn("note", F.lit(note))
+
+    def convert(items):
+        return items.withColumn("row", F.when(F.col("id") != 13, F.struct("id", "url", "note")))
+
+    registry = Registry()
+    registry.add("a", Source(read, convert, "row.url <> ''", {"rows": [(1, "u"), (2, "u"), (3, ""), (13, "v"), (4, "w")], "note": "-"}))
+    with pytest.raises(ValueError):
+        registry.get("b")
+    kept = TableStore(spark, f"file://{tmp_path}")
+    run = lambda **o: tuple(ingest(spark, registry, "a", kept, "t", ["url"], ["id"], o).first())
+    assert run(note="n", other=1) == (5, 2, 1, 2)  # total, saved, skipped, errors
+    assert run() == (5, 0, 3, 2)
+    assert sorted(tuple(r) for r in kept.read("t").collect()) == [(1, "u", "n"), (4, "w", "n")]
