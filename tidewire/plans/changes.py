@@ -85,11 +85,11 @@ def stream_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def stream_hourly(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Hours the watermark has closed when all events have streamed by, in the order of time."""
+    """Hours the watermark has closed when all events have streamed by: eight files of a batch, each sorted by time."""
     root = scratch_path(spark, "hours")
     events = table(spark, sf_dir, "events").select("ts", "event_type")
-    events.repartitionByRange(1, "ts").sortWithinPartitions("ts").write.parquet(f"{root}/landed")
-    hours = hourly_windows(file_stream(spark, f"{root}/landed", events, "*.parquet"), "ts")
+    events.repartitionByRange(8, "ts").sortWithinPartitions("ts").write.parquet(f"{root}/landed")
+    hours = hourly_windows(file_stream(spark, f"{root}/landed", events, "*.parquet", 8), "ts")
     q = hours.writeStream.outputMode("append").format("parquet").option("path", f"{root}/out").option("checkpointLocation", f"{root}/checkpoint").trigger(availableNow=True).start()
     q.awaitTermination()
     return spark.read.schema("hour timestamp, cnt bigint").parquet(f"{root}/out").select(F.unix_micros("hour").alias("hour_us"), "cnt")

@@ -171,6 +171,44 @@ def stored_articles(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _source_run(spark, sf_dir)[1].read("articles").select("id", "url")
 
 
+def pipeline_links(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The whole backlog from raw articles to links in empty tables, with the names of all sources (a fixed table) as the engine's:
+    per article its entities and how often they are named."""
+    names = {r[0]: "organization" for r in table(spark, sf_dir, "sources").select("name").collect()}
+    empty = lambda schema: spark.createDataFrame([], schema)
+    out = pipelines.link_entities(
+        _articles(spark, sf_dir), table(spark, sf_dir, "sources"), empty("id bigint, raw_article_id bigint"), empty("id bigint, normalized_name string, type string"),
+        empty("processed_article_id bigint, entity_id bigint"), table(spark, sf_dir, "entity_aliases"), names=names,
+    )
+    named = out["article_entities"].join(out["entities"].select(F.col("id").alias("entity_id"), "normalized_name"), "entity_id")
+    articles = out["processed_articles"].select(F.col("id").alias("processed_article_id"), "raw_article_id")
+    return named.join(articles, "processed_article_id").select("raw_article_id", "normalized_name", "count")
+
+
+def pipeline_articles(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The processed articles that are new beside the stored ones, under ids after theirs."""
+    cleaned = extract.clean_articles(_articles(spark, sf_dir))
+    return pipelines.processed_articles(table(spark, sf_dir, "processed_articles"), cleaned).select("id", "raw_article_id", F.md5("text").alias("text_md5"))
+
+
+def alias_apply(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Proposed aliases and type fixes: which rows are added where every entity's name is a stored canonical already."""
+    e = table(spark, sf_dir, "entities")
+    stored = e.select(F.concat("normalized_name", F.lit("?")).alias("alias_name"), F.col("type").alias("alias_type"), F.col("normalized_name").alias("canonical_name"), F.col("type").alias("canonical_type"))
+    proposed = table(spark, sf_dir, "entity_aliases").filter("alias_type is not null")
+    fixes = e.filter("type = 'event'").select(F.concat(F.lit("о "), "normalized_name").alias("name"), F.col("type").alias("current_type"), F.lit("concept").alias("correct_type"))
+    return pipelines.apply_aliases(stored, proposed, fixes)
+
+
+def discard_marks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What is left of entities, links and aliases once all events are discarded."""
+    gone = table(spark, sf_dir, "entities").filter("type = 'event'").select(F.col("normalized_name").alias("name"), "type")
+    aliases = store.keep_last(table(spark, sf_dir, "entity_aliases").withColumn("seq", F.col("id")), ["alias_name", "alias_type"], "seq")
+    left = pipelines.drop_discards(table(spark, sf_dir, "entities"), table(spark, sf_dir, "article_entities"), aliases, gone)
+    count = lambda n, df: df.agg(F.lit(n).alias("name"), F.count("*").alias("cnt"))
+    return count("entities", left[0]).unionByName(count("links", left[1])).unionByName(count("aliases", left[2])).unionByName(count("marks", left[2].filter("canonical_type = 'discard'")))
+
+
 def report_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The alias table as a JSON report, read back for review."""
     path = scratch_path(spark, "report")
@@ -371,7 +409,7 @@ def stream_daily(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.read.schema("day timestamp, cnt bigint, hours bigint").parquet(f"{root}/out").select(F.unix_micros("day").alias("day_us"), "cnt", "hours")
 
 
-QUERIES = {f.__name__: f for f in (feed_scan, feed_sections, feed_category, category_rules, sitemap_scan, sitemap_days, archive_days, archive_search, archive_api, post_feed, converted, parsed_items, source_to_store, stored_articles, report_round_trip, cleanup_replies, run_statistics, engine_profile, engine_difference, engine_comparison, importance_labels, snippets, profile_urls, marked_up, result_list, sources_by_check, zone_round_trip, replaced_flags, defaults, not_unique, truncate_restart, backfill_days, day_counts, overall_stats, yesterday, new_summaries, summary_meta, prompt_lines, feed_texts, lists_and_fences, stream_daily)}
+QUERIES = {f.__name__: f for f in (feed_scan, feed_sections, feed_category, category_rules, sitemap_scan, sitemap_days, archive_days, archive_search, archive_api, post_feed, converted, parsed_items, source_to_store, stored_articles, pipeline_links, pipeline_articles, alias_apply, discard_marks, report_round_trip, cleanup_replies, run_statistics, engine_profile, engine_difference, engine_comparison, importance_labels, snippets, profile_urls, marked_up, result_list, sources_by_check, zone_round_trip, replaced_flags, defaults, not_unique, truncate_restart, backfill_days, day_counts, overall_stats, yesterday, new_summaries, summary_meta, prompt_lines, feed_texts, lists_and_fences, stream_daily)}
 
 _SECTION = "case coalesce(source_id, 0) % 3 when 0 then 'main' when 1 then 'world' else 'sport' end"
 _RANK = f"case {_SECTION} when 'main' then 1 when 'world' then 2 else 3 end"
@@ -381,6 +419,7 @@ _MENTIONS = """
 l as (select a.processed_article_id as article_id, e.normalized_name, e.type as entity_type, a.importance_score, a.count from article_entities a join entities e on e.id = a.entity_id
       where a.importance_score is not null and a.count is not null),
 m as (select *, 'left' as engine from l union all select *, 'right' from l where count >= 2)"""
+_SQUEEZED = r"trim(regexp_replace(coalesce({0}, ''), '[\s\p{{Z}}\x{{85}}\x{{0B}}\x{{1c}}-\x{{1f}}]+', ' ', 'g'))"
 _GOOD = "id % 7 <> 0 and length(trim(coalesce(raw_title, ''), ' ')) >= 3"
 SQL = {
     "feed_scan": f"select cast(id as varchar) as summary, url, {_SECTION} as section, md5(trim(coalesce(raw_title, ''), ' ')) as title_md5 from raw_articles",
@@ -413,6 +452,30 @@ union all select id, 's_' || substr(md5(url), 1, 12), md5(case when length(t) >
 with g as (select count(*) as total, count(*) filter (not ({_GOOD})) as errors, count(distinct url) filter ({_GOOD}) as saved from raw_articles)
 select total as total_rows, saved, total - saved - errors as skipped, errors, 1 as run from g union all select total, 0, total - errors, errors, 2 from g""",
     "stored_articles": f"select min(id) as id, url from raw_articles where {_GOOD} group by url",
+    "pipeline_links": rf"""
+with a as (select id, {_SQUEEZED.format("raw_title")} as t, {_SQUEEZED.format("raw_text")} as x from raw_articles),
+w as (select id, case when t <> '' then t || chr(10) || x else x end as whole from a)
+select w.id as raw_article_id, upper(substr(translate(n.name, 'ёЁ', 'еЕ'), 1, 1)) || substr(translate(n.name, 'ёЁ', 'еЕ'), 2) as normalized_name,
+  cast((length(whole) - length(replace(whole, n.name, ''))) // length(n.name) as bigint) as count
+from w join (select distinct name from sources where name is not null) n on contains(w.whole, n.name)""",
+    "pipeline_articles": rf"""
+select (select max(id) from processed_articles) + row_number() over (order by id) as id, id as raw_article_id, md5({_SQUEEZED.format("raw_text")}) as text_md5
+from raw_articles where id not in (select raw_article_id from processed_articles)""",
+    "alias_apply": """
+with u as (
+  select alias_name, alias_type, canonical_name, canonical_type, 0 as prio from entity_aliases where alias_type is not null
+  union all select 'о ' || normalized_name, type, 'о ' || normalized_name, 'concept', 1 from entities where type = 'event'),
+r as (select *, row_number() over (partition by alias_name, alias_type order by prio, canonical_name nulls first) as n from u)
+select alias_name, alias_type, canonical_name, canonical_type from r where n = 1
+and not exists (select 1 from entities e where lower(e.normalized_name) = lower(r.alias_name) and e.type = r.alias_type)
+and not exists (select 1 from entities e where e.normalized_name || '?' = r.alias_name and e.type = r.alias_type)""",
+    "discard_marks": """
+with gone as (select distinct normalized_name as name, type from entities where type = 'event'), a as (select distinct alias_name, alias_type from entity_aliases),
+d as (select alias_name, alias_type, arg_max(canonical_type, id) as hi from entity_aliases group by 1, 2)
+select 'entities' as name, count(*) as cnt from entities where type <> 'event'
+union all select 'links', count(*) from article_entities where entity_id not in (select id from entities where type = 'event')
+union all select 'aliases', (select count(*) from a) + (select count(*) from gone where not exists (select 1 from a where a.alias_name = gone.name and a.alias_type = gone.type))
+union all select 'marks', (select count(*) from gone) + (select count(*) from d where hi = 'discard' and not exists (select 1 from gone where gone.name = d.alias_name and gone.type = d.alias_type))""",
     "report_round_trip": "select id, alias_name, alias_type, canonical_name, canonical_type from entity_aliases",
     "cleanup_replies": """
 select id, cast(case when id % 5 = 0 then 0 else 1 end as integer) as aliases, case when id % 5 <> 0 then canonical_name end as canonical, cast(case when id % 5 = 0 then 0 else 1 end as integer) as discards from entity_aliases""",

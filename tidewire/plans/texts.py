@@ -9,6 +9,7 @@ from tidewire.functions import text as t
 from tidewire.functions.markup import clean_html, page_parts
 from tidewire.functions.replies import parse_entities, parse_summary
 from tidewire.functions.timeparse import with_instant, with_parts
+from tidewire.functions.timeutil import to_zone
 from tidewire.operators import extract, summaries
 from tidewire.session import table
 from tidewire.sources.landed import valid_item
@@ -97,15 +98,32 @@ def reply_parse(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def dates(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Instants written in five notations and read back: how many come out equal."""
+    """Instants written in six notations and read back: how many come out equal."""
     e = table(spark, sf_dir, "events").select("event_id", F.date_trunc("second", "ts").cast("timestamp_ntz").alias("ts"))
-    forms = {"iso": "yyyy-MM-dd'T'HH:mm:ss'Z'", "dotted": "dd.MM.yyyy HH:mm:ss 'UTC'", "slashed": "dd/MM/yyyy HH:mm:ss '+0000'", "compact": "yyyyMMdd'T'HHmmss'Z'", "plain": "yyyy-MM-dd HH:mm:ss '+00'"}
+    forms = {"iso": "yyyy-MM-dd'T'HH:mm:ss'Z'", "dotted": "dd.MM.yyyy HH:mm:ss 'UTC'", "slashed": "dd/MM/yyyy HH:mm:ss '+0000'", "compact": "yyyyMMdd'T'HHmmss'Z'", "plain": "yyyy-MM-dd HH:mm:ss '+00'", "mail": "EEE, dd MMM yyyy HH:mm:ss '+0000'"}
     rows = e.select("ts", F.explode(F.array(*[F.struct(F.lit(n).alias("form"), F.date_format("ts", f).alias("value")) for n, f in forms.items()])).alias("x")).select("ts", "x.form", "x.value")
     rows = with_instant(with_parts(rows.withColumn("tz", F.lit(TZ)).withColumn("now", F.lit(None).cast("timestamp")), "value"), "tz", "now", "us")
     true_us = F.timestamp_diff("MICROSECOND", F.lit("1970-01-01 00:00:00").cast("timestamp_ntz"), F.col("ts"))
     return rows.groupBy("form").agg(F.count("*").alias("cnt"), F.count_if(F.col("us") == true_us).alias("equal"))
 
 
+#: The months as dates name them.
+MONTHS = "января февраля марта апреля мая июня июля августа сентября октября ноября декабря".split()
+
+
+def russian_dates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Wall clocks of Moscow with the month in words, read back: how many come out equal, to the minute."""
+    e = table(spark, sf_dir, "events").select(F.date_trunc("minute", "ts").cast("timestamp_ntz").alias("ts"))
+    wall = to_zone(F.col("ts"), TZ)
+    month = F.element_at(F.array(*[F.lit(m) for m in MONTHS]), F.month(wall))
+    day = F.concat(F.date_format(wall, "d "), month, F.date_format(wall, " yyyy"))
+    forms = {"time first": F.concat(F.date_format(wall, "HH:mm, "), day), "day first": F.concat(day, F.date_format(wall, " г., HH:mm"))}
+    rows = e.select("ts", F.explode(F.array(*[F.struct(F.lit(n).alias("form"), v.alias("value")) for n, v in forms.items()])).alias("x")).select("ts", "x.form", "x.value")
+    rows = with_instant(with_parts(rows.withColumn("tz", F.lit(TZ)).withColumn("now", F.lit(None).cast("timestamp")), "value"), "tz", "now", "us")
+    true_us = F.timestamp_diff("MICROSECOND", F.lit("1970-01-01 00:00:00").cast("timestamp_ntz"), F.col("ts"))
+    return rows.groupBy("form").agg(F.count("*").alias("cnt"), F.count_if(F.col("us") == true_us).alias("equal"))
+
+
 def cost(spark: SparkSession, sf_dir: str) -> DataFrame:
     s = table(spark, sf_dir, "summarizations")
     return s.select("id", summaries.cost(F.col("prompt_tokens"), F.col("completion_tokens")).alias("cost"))
@@ -165,7 +183,7 @@ def extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.groupBy("normalized_name", "entity_type").agg(F.count("*").alias("mentions"), F.count_distinct("article_id").alias("articles"))
 
 
-QUERIES = {f.__name__: f for f in (whitespace, truncated_columns, ids, post_titles, noise_lines, canonical_names, escaped, valid_items, clean_pages, page_extract, html_text, json_props, rubrics, reply_parse, dates, cost, cost_band, hourly_rollup, daily_rollup, brief, digests, summary_replies, vector_dot, extraction)}
+QUERIES = {f.__name__: f for f in (whitespace, truncated_columns, ids, post_titles, noise_lines, canonical_names, escaped, valid_items, clean_pages, page_extract, html_text, json_props, rubrics, reply_parse, dates, russian_dates, cost, cost_band, hourly_rollup, daily_rollup, brief, digests, summary_replies, vector_dot, extraction)}
 SQL = {
     "whitespace": r"select doc_id, md5(trim(regexp_replace(coalesce(text, ''), '[\s\p{Z}\x{85}\x{0B}\x{1c}-\x{1f}]+', ' ', 'g'))) as squeezed from documents",
     "truncated_columns": """
@@ -187,6 +205,15 @@ from raw_articles where raw_text is not null""",
     "escaped": r"""
 select id, replace(replace(replace(coalesce(raw_title, ''), '&', '&amp;'), '<', '&lt;'), '>', '&gt;') as html,
   regexp_replace(coalesce(raw_title, ''), '([_*\[\]()~`>#+\-=|{}.!\\])', '\\\1', 'g') as markdown from raw_articles""",
+    "clean_pages": r"""
+select id, trim(regexp_replace(coalesce(raw_title, ''), '[\s\p{Z}\x{85}\x{0B}\x{1c}-\x{1f}]+', ' ', 'g')) as title,
+  cast(length(trim(regexp_replace(coalesce(raw_text, ''), '[\s\p{Z}\x{85}\x{0B}\x{1c}-\x{1f}]+', ' ', 'g'))) as integer) as letters from raw_articles""",
+    "extraction": """
+with n as (select distinct name from sources where name is not null),
+a as (select id, case when coalesce(title, '') <> '' then title || chr(10) || coalesce(text, '') else coalesce(text, '') end as whole from processed_articles),
+m as (select n.name, a.id, (length(whole) - length(replace(whole, n.name, ''))) // length(n.name) as k from a join n on contains(a.whole, n.name))
+select name as normalized_name, 'organization' as entity_type, cast(sum(k) as bigint) as mentions, count(*) as articles from m group by 1""",
+    "russian_dates": "select 'time first' as form, count(*) as cnt, count(*) as equal from events union all select 'day first', count(*), count(*) from events",
     "valid_items": "select id, coalesce(regexp_matches(url, '^https?://') and length(trim(raw_title, ' ')) >= 3 and length(raw_text) >= 50, false) as valid from raw_articles",
     "json_props": "select event_type, cast(sum(cast(json_extract(props, '$.k') as bigint)) as bigint) as k, count(*) as cnt from events group by 1",
     "rubrics": "select coalesce(json_extract_string(meta_info, '$.rubric'), '(none)') as rubric, count(*) as cnt from raw_articles group by 1",
@@ -195,7 +222,7 @@ select id as entity_id, trim(normalized_name) as normalized_name, type as entity
   cast(greatest(1, (length(lower(normalized_name || ' и ' || normalized_name)) - length(replace(lower(normalized_name || ' и ' || normalized_name), lower(trim(normalized_name)), ''))) / length(trim(normalized_name))) as integer) as count,
   cast(0.7 as double) as importance_score
 from entities where trim(normalized_name) <> '' and type in ('person', 'organization', 'location', 'event', 'concept')""",
-    "dates": "select f as form, count(*) as cnt, count(*) as equal from events, (select unnest(['iso', 'dotted', 'slashed', 'compact', 'plain']) as f) group by 1",
+    "dates": "select f as form, count(*) as cnt, count(*) as equal from events, (select unnest(['iso', 'dotted', 'slashed', 'compact', 'plain', 'mail']) as f) group by 1",
     "cost": "select id, round(prompt_tokens / 1e6 * 0.14 + completion_tokens / 1e6 * 0.28, 6) as cost from summarizations",
     "cost_band": """
 select model_used, cast(sum(prompt_tokens + completion_tokens) as bigint) as tokens, round(sum(prompt_tokens + completion_tokens) * 0.07 / 1e6, 6) as low,
