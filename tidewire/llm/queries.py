@@ -35,11 +35,12 @@ def p3_shares(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def p4_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Pairs of entities with counts, lift and corrected odds ratio."""
-    return pair_counts(table(spark, sf_dir, "article_entities"), "processed_article_id", "entity_id")
+    pairs = pair_counts(table(spark, sf_dir, "article_entities"), "processed_article_id", "entity_id")
+    return pairs.select("a", "b", "n_ab", "n_a", "n_b", "n", *[F.round(c, 4).alias(c) for c in ("lift", "odds_ratio", "log_odds")])
 
 
 def p4_found(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return p4_pairs(spark, sf_dir).select(F.col("a").alias("entity_id_a"), F.col("b").alias("entity_id_b"))
+    return pair_counts(table(spark, sf_dir, "article_entities"), "processed_article_id", "entity_id").select(F.col("a").alias("entity_id_a"), F.col("b").alias("entity_id_b"))
 
 
 def p5_found(spark: SparkSession, sf_dir: str) -> DataFrame:

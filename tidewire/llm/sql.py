@@ -8,6 +8,13 @@ c as (select i, count(*) c from e group by i),
 p as (select x.i a, y.i b, count(*) n_ab from e x join e y on x.r = y.r and x.i < y.i group by 1, 2 having count(*) >= 5)
 select p.a as entity_id_a, p.b as entity_id_b from p join c ca on ca.i = p.a join c cb on cb.i = p.b cross join n
 where n_ab * n.n >= 5 * ca.c * cb.c""",
+    "p4_pairs": """
+with e as (select distinct processed_article_id r, entity_id i from article_entities where processed_article_id is not null and entity_id is not null),
+c as (select i, count(*) c from e group by i),
+p as (select x.i a, y.i b, count(*) n_ab from e x join e y on x.r = y.r and x.i < y.i group by 1, 2 having count(*) >= 5),
+q as (select p.a, p.b, n_ab, ca.c as n_a, cb.c as n_b, (select count(distinct r) from e) as n from p join c ca on ca.i = p.a join c cb on cb.i = p.b),
+o as (select *, (n_ab + 0.5) * (n - n_a - n_b + n_ab + 0.5) / (cast(n_a - n_ab as double) + 0.5) / (cast(n_b - n_ab as double) + 0.5) as odds from q where n_ab * n >= 5 * n_a * n_b)
+select a, b, n_ab, n_a, n_b, n, round(cast(n_ab * n as double) / (n_a * n_b), 4) as lift, round(cast(odds as double), 4) as odds_ratio, round(ln(odds), 4) as log_odds from o""",
     "p7_found": r"""
 with t as (select id, source_id, unnest(string_split(raw_text, chr(10))) line, generate_subscripts(string_split(raw_text, chr(10)), 1) line_no
            from raw_articles where source_id is not null),
