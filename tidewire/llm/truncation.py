@@ -137,35 +137,43 @@ left join (select part, sum(n_stop) as n_stops from {grams} group by part) using
 """
 
 #: A round: ends and marks weighed by the last verdicts (``cut``, 0 to 1), then each value's odds anew. A value is no end of itself.
-_ROUND = r"""
-with counted as (
-  select kind, key, sum((1 - cut) / copies) as n from (select kind, cut, copies, stack(3, k3, k2, k1) as key from {last}) group by kind, key),
-base as (
+#: Its tables are written one by one: the driver keeps every plan and re-plans it after each of its stages.
+_COUNTED = r"""
+select kind, key, sum((1 - cut) / copies) as n from (select kind, cut, copies, stack(3, k3, k2, k1) as key from {last}) group by kind, key
+"""
+
+_BASE = r"""
+with base as (
   select kind, sum(1 - cut) / (sum(1 - cut) + max(n_words)) as p0, greatest((sum(if(crowd < 1, cut, 0)) + 0.001) / (count_if(crowd < 1) + 0.1), 0.0005) as share
   from {last} join {totals} using (kind) group by kind),
 styles as (
   select kind, sum(natural) / max(n_stops) as as_end
-  from (select kind, k2, max(1 - cut) as natural from {last} where bare and stop2 > 0 group by kind, k2) join {totals} using (kind) group by kind),
-seen as (
+  from (select kind, k2, max(1 - cut) as natural from {last} where bare and stop2 > 0 group by kind, k2) join {totals} using (kind) group by kind)
+select b.*, coalesce(s.as_end, 0) as as_end from base b left join styles s using (kind)
+"""
+
+_MARKS = r"""
+with seen as (
   select source_id, field_name, crowd >= 1 as at, mark, sum(cut) as c, sum(1 - cut) as w from {last} group by source_id, field_name, crowd >= 1, mark),
 everywhere as (
   select *, (c + 0.1) / (sum(c) over (partition by field_name, at) + 1) as pc, (w + 0.1) / (sum(w) over (partition by field_name, at) + 1) as pw
-  from (select field_name, at, mark, sum(c) as c, sum(w) as w from seen group by field_name, at, mark)),
-marks as (
-  select s.source_id, s.field_name, s.at, s.mark,
-         ((s.c + 2 * e.pc) / (sum(s.c) over (partition by s.source_id, s.field_name, s.at) + 2)) /
-         ((s.w + 2 * e.pw) / (sum(s.w) over (partition by s.source_id, s.field_name, s.at) + 2)) as times
-  from seen s join everywhere e on e.field_name = s.field_name and e.at = s.at and e.mark = s.mark),
-rates as (
-  select l.*, b.p0, b.share, m.times, coalesce(s.as_end, 0) * stop1 + greatest(c1.n - (1 - l.cut), 0) as end1, coalesce(s.as_end, 0) * stop2 + greatest(c2.n - (1 - l.cut), 0) as end2,
-         coalesce(s.as_end, 0) * stop3 + greatest(c3.n - (1 - l.cut), 0) as end3
+  from (select field_name, at, mark, sum(c) as c, sum(w) as w from seen group by field_name, at, mark))
+select s.source_id, s.field_name, s.at, s.mark,
+       ((s.c + 2 * e.pc) / (sum(s.c) over (partition by s.source_id, s.field_name, s.at) + 2)) /
+       ((s.w + 2 * e.pw) / (sum(s.w) over (partition by s.source_id, s.field_name, s.at) + 2)) as times
+from seen s join everywhere e on e.field_name = s.field_name and e.at = s.at and e.mark = s.mark
+"""
+
+_ROUND = r"""
+with rates as (
+  select l.*, b.p0, b.share, m.times, b.as_end * stop1 + greatest(c1.n - (1 - l.cut), 0) as end1, b.as_end * stop2 + greatest(c2.n - (1 - l.cut), 0) as end2,
+         b.as_end * stop3 + greatest(c3.n - (1 - l.cut), 0) as end3
   from {last} l
-  join base b on b.kind = l.kind
-  left join styles s on s.kind = l.kind
-  join marks m on m.source_id <=> l.source_id and m.field_name = l.field_name and m.at = (l.crowd >= 1) and m.mark = l.mark
-  join counted c3 on c3.kind = l.kind and c3.key = l.k3
-  join counted c2 on c2.kind = l.kind and c2.key = l.k2
-  join counted c1 on c1.kind = l.kind and c1.key = l.k1),
+  join {base} b on b.kind = l.kind
+  join {marks} m on m.source_id <=> l.source_id and m.field_name = l.field_name and m.at = (l.crowd >= 1) and m.mark = l.mark
+  join {counted} c3 on c3.kind = l.kind and c3.key = l.k3
+  join {counted} c2 on c2.kind = l.kind and c2.key = l.k2
+  join {counted} c1 on c1.kind = l.kind and c1.key = l.k1),
 backed as (
   select *, (end1 + {k} * p0) / (end1 + in1 + {k}) as p1 from rates),
 twice as (
@@ -183,7 +191,7 @@ def _crowds(ends: DataFrame, kind: str) -> DataFrame:
 
 
 def _crowded(ends: DataFrame, kind: str, column: str) -> DataFrame:
-    c = _crowds(ends, kind).select(F.col("source_id").alias("s"), F.col("field_name").alias("f"), "len", F.col("odds").alias(column))
+    c = written(_crowds(ends, kind), kind).select(F.col("source_id").alias("s"), F.col("field_name").alias("f"), "len", F.col("odds").alias(column))
     return ends.join(c, ends["source_id"].eqNullSafe(c["s"]) & (ends["field_name"] == c["f"]) & (ends[kind] == c["len"]), "left").drop("s", "f", "len")
 
 
@@ -209,15 +217,18 @@ def judged(rows: DataFrame) -> DataFrame:
     inside = written(spark.sql(_INSIDE.replace("{letters}", str(WORD_LETTERS)), grams=grams, wanted=wanted), "inside")
     # Values at a limit in characters crowd at nearby numbers of bytes: these are counted without them.
     ends = written(_crowded(ends, "chars", "chars_odds"), "crowds")
-    apart = _crowds(ends.filter("not chars_odds >= 2"), "bytes").select(F.col("source_id").alias("s"), F.col("field_name").alias("f"), "len", "odds")
+    apart = written(_crowds(ends.filter("not chars_odds >= 2"), "bytes"), "bytes").select(F.col("source_id").alias("s"), F.col("field_name").alias("f"), "len", "odds")
     ends = ends.join(apart, ends["source_id"].eqNullSafe(apart["s"]) & (ends["field_name"] == apart["f"]) & (ends["bytes"] == apart["len"]), "left")
     ends = ends.withColumn("crowd", F.greatest(F.coalesce("chars_odds", F.lit(0.0)), F.when(F.col("chars_odds") >= 2, 0.0).otherwise(F.coalesce("odds", F.lit(0.0)))))
     totals = written(spark.sql(_TOTALS, ends=ends, grams=grams), "totals")
+    ends = written(ends, "crowds")
     state = spark.sql(_STATES, ends=ends, inside=inside).withColumn("cut", F.expr(f"if(broken, 1d, if(endswith(mark, '~'), 0.99d, greatest(if(mark = 'open', 0.99d, 0d), (crowd + {FIRST_SHARE}) / (crowd + {FIRST_SHARE} + 1))))"))
-    text = _ROUND.replace("{k}", str(BACK_OFF))
     for _ in range(ROUNDS):
         state = written(state, "verdicts")
-        state = spark.sql(text, last=state, totals=totals)
+        counted = written(spark.sql(_COUNTED, last=state), "counted")
+        base = written(spark.sql(_BASE, last=state, totals=totals), "base")
+        marks = written(spark.sql(_MARKS, last=state), "marks")
+        state = spark.sql(_ROUND.replace("{k}", str(BACK_OFF)), last=state, counted=counted, base=base, marks=marks)
     return state.groupBy("id", "source_id", "field_name").agg(F.max("cut").alias("cut"))
 
 
