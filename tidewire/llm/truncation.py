@@ -137,11 +137,7 @@ left join (select part, sum(n_stop) as n_stops from {grams} group by part) using
 """
 
 #: A round: ends and marks weighed by the last verdicts (``cut``, 0 to 1), then each value's odds anew. A value is no end of itself.
-#: Its tables are written one by one: the driver keeps every plan and re-plans it after each of its stages.
-_COUNTED = r"""
-select kind, key, sum((1 - cut) / copies) as n from (select kind, cut, copies, stack(3, k3, k2, k1) as key from {last}) group by kind, key
-"""
-
+#: Its small tables are written first: the driver keeps every plan and re-plans it after each of its stages.
 _BASE = r"""
 with base as (
   select kind, sum(1 - cut) / (sum(1 - cut) + max(n_words)) as p0, greatest((sum(if(crowd < 1, cut, 0)) + 0.001) / (count_if(crowd < 1) + 0.1), 0.0005) as share
@@ -165,15 +161,17 @@ from seen s join everywhere e on e.field_name = s.field_name and e.at = s.at and
 """
 
 _ROUND = r"""
-with rates as (
+with counted as (
+  select kind, key, sum((1 - cut) / copies) as n from (select kind, cut, copies, stack(3, k3, k2, k1) as key from {last}) group by kind, key),
+rates as (
   select l.*, b.p0, b.share, m.times, b.as_end * stop1 + greatest(c1.n - (1 - l.cut), 0) as end1, b.as_end * stop2 + greatest(c2.n - (1 - l.cut), 0) as end2,
          b.as_end * stop3 + greatest(c3.n - (1 - l.cut), 0) as end3
   from {last} l
   join {base} b on b.kind = l.kind
   join {marks} m on m.source_id <=> l.source_id and m.field_name = l.field_name and m.at = (l.crowd >= 1) and m.mark = l.mark
-  join {counted} c3 on c3.kind = l.kind and c3.key = l.k3
-  join {counted} c2 on c2.kind = l.kind and c2.key = l.k2
-  join {counted} c1 on c1.kind = l.kind and c1.key = l.k1),
+  join counted c3 on c3.kind = l.kind and c3.key = l.k3
+  join counted c2 on c2.kind = l.kind and c2.key = l.k2
+  join counted c1 on c1.kind = l.kind and c1.key = l.k1),
 backed as (
   select *, (end1 + {k} * p0) / (end1 + in1 + {k}) as p1 from rates),
 twice as (
@@ -225,10 +223,9 @@ def judged(rows: DataFrame) -> DataFrame:
     state = spark.sql(_STATES, ends=ends, inside=inside).withColumn("cut", F.expr(f"if(broken, 1d, if(endswith(mark, '~'), 0.99d, greatest(if(mark = 'open', 0.99d, 0d), (crowd + {FIRST_SHARE}) / (crowd + {FIRST_SHARE} + 1))))"))
     for _ in range(ROUNDS):
         state = written(state, "verdicts")
-        counted = written(spark.sql(_COUNTED, last=state), "counted")
         base = written(spark.sql(_BASE, last=state, totals=totals), "base")
         marks = written(spark.sql(_MARKS, last=state), "marks")
-        state = spark.sql(_ROUND.replace("{k}", str(BACK_OFF)), last=state, counted=counted, base=base, marks=marks)
+        state = spark.sql(_ROUND.replace("{k}", str(BACK_OFF)), last=state, base=base, marks=marks)
     return state.groupBy("id", "source_id", "field_name").agg(F.max("cut").alias("cut"))
 
 
