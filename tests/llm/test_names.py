@@ -1,5 +1,7 @@
 """Variant spellings: what is read, what links, what stays apart, and the defined edge cases."""
 
+import random
+
 import pytest
 
 from tidewire.llm import names as N
@@ -150,3 +152,47 @@ def test_things_are_matched_again_after_a_merge(spark):
     got = {r["key"]: r["entity"] for r in N.resolve(spark.createDataFrame(rows, "key string, names array<string>")).collect()}
     # One record unites two brands and two lines: it meets every brand with every line of its own.
     assert got["e1"] == got["e2"] == got["e4"] == got["e5"] != got["e3"]
+
+
+def test_long_names_with_slips_are_linked(spark):
+    long = "".join(random.Random(5).choices("бвгдзклмнпрст", k=64)) + "ин"
+    slip, two, far = long[:20] + "ж" + long[21:], "жж" + long[2:], "ж" + long[1:30] + "жж" + long[32:]
+    forms = ["Леонид {}", "Форум «{}-2026»", "Программа «{}»", "{} Нефть"]
+    e = [(10 * k + i, f.format(x), None) for k, f in enumerate(forms) for i, x in enumerate((long, slip))]
+    e += [(100, f"Леонид {two}", None), (101, f"Леонид {far}", None), (102, f"Форум «{far}-2026»", None)]
+    got = pairs(spark, e)
+    assert got == {(f"e{10 * k}", f"e{10 * k + 1}") for k in range(4)} | {("e0", "e100"), ("e1", "e100")}
+
+
+@pytest.mark.parametrize("wide,edits", [(False, 1), (True, 2)])
+def test_slips_in_cores_about_the_long_ones(spark, wide, edits):
+    rng = random.Random(7)
+    rows = []
+    for size in (61, 62, 63, 64, 65, 66, 200):
+        for at in range(0, size - 1, 3):
+            core = list(rng.choices("bdgklmnprst", k=size))
+            other = core.copy()
+            for _ in range(edits):
+                i = (at + rng.randrange(size - 3)) % (len(other) - 1)
+                other[i : i + 2] = rng.choice(([other[i + 1], other[i]], [other[i]], [*other[i : i + 2], "w"], ["w", other[i + 1]]))
+            rows += [(len(rows) + k, str(len(rows)), "".join(x), wide) for k, x in enumerate((core, other))]
+    true = {(a[0], b[0]) for a, b in zip(rows[::2], rows[1::2]) if N.distance(a[2], b[2]) <= edits}
+    got = {(r["a"], r["b"]) for r in N.near_pairs(spark.createDataFrame(rows, "id bigint, stratum string, core string, wide boolean")).collect() if r["d"] <= edits}
+    assert len(true) > 150 and got == true
+
+
+def test_short_full_names_with_swapped_letters_are_linked(spark):
+    # Two swaps in five letters; the same consonants in seven letters and five.
+    e = [(1, "Леонид Гикпа", None), (2, "Леонид Игпка", None), (3, "Леонид Тарамуч", None), (4, "Леонид Трамч", None)]
+    assert pairs(spark, e) == {("e1", "e2"), ("e3", "e4")}
+
+
+def test_the_longer_core_counts_in_either_order(spark):
+    cores = [(k, f"s{k // 2}", x, False) for k, x in enumerate(("nuqo", "nuqok", "nuqok", "nuqo"))]
+    got = N.near_pairs(spark.createDataFrame(cores, "id bigint, stratum string, core string, wide boolean")).collect()
+    assert {(r["a"], r["b"], r["n"]) for r in got} == {(0, 1, 5), (2, 3, 5)}
+
+
+def test_distance_of_very_long_names():
+    core = "слово" * 40_000
+    assert [N.distance(core, x) for x in ("ж" + core[1:-1] + "ж", "ж" + core[:-1], core[::-1])] == [2, 2, 3]

@@ -8,7 +8,8 @@ spellings, given names, initials and qualifiers are united, the richer profiles
 kind: a company, institution, place, event or concept by every core with every qualifier of its spellings), and a
 record with only an initial or a bare surname merges into the one record it is compatible with (none where there
 are several: namesakes stay apart). Misspelt cores meet in blocks of their one-letter deletions (full names of
-their two-letter ones) and are compared by edit distance. The rounds end when no merge occurs.
+their two-letter ones; long cores in blocks of the same deletions as hashes, long full names by the pieces two edits
+leave) and are compared by edit distance. The rounds end when no merge occurs.
 
 Qualifiers must agree: other given names, other lines of one brand, other institutions of one town, a town and its
 region, and other years of one event stay apart. Middle initials are noise here and decide nothing. Recorded types
@@ -19,12 +20,13 @@ is one profile, so no block holds it more than once. Components are found by lab
 to the shared folder; nothing is collected.
 
 Defined results: null and empty names, and debris without letters, link to nothing; a null original_name is
-skipped; repeated rows of one key count once; empty tables give no pairs; very long names are read whole
-(cores over 64 letters meet only if equal); ambiguous short forms link to none; other columns are ignored.
+skipped; repeated rows of one key count once; empty tables give no pairs; very long names are read and compared
+whole; ambiguous short forms link to none; other columns are ignored.
 """
 
 from __future__ import annotations
 
+import hashlib
 import html
 import re
 import unicodedata
@@ -175,17 +177,22 @@ def distance(a: str, b: str) -> int:
     while n > i and m > i and a[n - 1] == b[m - 1]:
         n, m = n - 1, m - 1
     a, b, n, m = a[i:n], b[i:m], n - i, m - i
-    before, row = None, list(range(m + 1))
+    # Rows of the five cells on and about the diagonal: those farther off are 3 or more.
+    before, row = None, [3, 3, 0, 1, 2]
     for i in range(1, n + 1):
-        now = [i] + [3] * m
-        for j in range(max(1, i - 2), min(m, i + 2) + 1):  # cells farther off the diagonal are 3 or more
-            now[j] = min(row[j] + 1, now[j - 1] + 1, row[j - 1] + (a[i - 1] != b[j - 1]))
+        now = [3] * 5
+        for k in range(max(0, 2 - i), min(4, m - i + 2) + 1):
+            j = i + k - 2
+            if j == 0:
+                now[k] = i
+                continue
+            now[k] = min(3, row[k] + (a[i - 1] != b[j - 1]), now[k - 1] + 1 if k else 3, row[k + 1] + 1 if k < 4 else 3)
             if before is not None and j > 1 and a[i - 1] == b[j - 2] and a[i - 2] == b[j - 1]:
-                now[j] = min(now[j], before[j - 2] + 1)
+                now[k] = min(now[k], before[k] + 1)
         if min(now) > 2:
             return 3
         before, row = row, now
-    return min(3, row[m])
+    return min(3, row[m - n + 2])
 
 
 def _like(word: str, table) -> str | None:
@@ -412,7 +419,8 @@ def _read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def _deletions(core: str, most: int = 1) -> set[str]:
-    """The core and its deletions of up to ``most`` letters: two cores within so many edits or swaps share one."""
+    """The core and its deletions of up to ``most`` letters: two cores within so many edits or swaps share one. Long cores come
+    alone: they meet by ``_long_keys``."""
     out = last = {core}
     if len(core) < KEY_LETTERS:
         for _ in range(most):
@@ -421,18 +429,66 @@ def _deletions(core: str, most: int = 1) -> set[str]:
     return out
 
 
+_PRIME, _BASE = (1 << 61) - 1, 0x1B873593A5A5C3D1
+
+
+def _digest(text: str) -> str:
+    return hashlib.blake2b(text.encode("utf-8", "surrogatepass"), digest_size=8).hexdigest()
+
+
+def _hashed_deletions(core: str) -> set[int]:
+    """Hashes of the core and its one-letter deletions, in time proportional to its length."""
+    n, whole, power = len(core), 0, 1
+    heads = [0]
+    for c in core:
+        whole = (whole * _BASE + ord(c)) % _PRIME
+        heads.append(whole)
+    out = {whole}
+    for i in range(n - 1, -1, -1):
+        out.add((whole + (heads[i] - heads[i + 1]) * power) % _PRIME)
+        power = power * _BASE % _PRIME
+    return out
+
+
+def _pieces(core: str) -> Iterator[str]:
+    """Keys of which two cores within two edits or swaps share one: those touch four fifths of a core at most (a swap two), and
+    the fifth left lies up to two letters aside in the other, whose length is ``n``."""
+    for n in range(len(core) - 2, len(core) + 3):
+        for k in range(5):
+            start, end = n * k // 5, n * (k + 1) // 5
+            for by in range(-2, 3):
+                if abs(by) + abs(len(core) - n - by) <= 2 and start + by >= 0 and end + by <= len(core):
+                    yield f"{n}.{k}.{_digest(core[start + by : end + by])}"
+
+
+def _long_keys(core: str, wide: bool) -> Iterator[str]:
+    """What ``_deletions`` would give a long core, in keys of bounded length, whose number grows with the core's length at most."""
+    return _pieces(core) if wide else map(str, _hashed_deletions(core))
+
+
+KEYS_AT_ONCE = 100_000
+
+
 def _keys(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """(id, stratum, core, wide) to its blocks: deletions (of two letters with ``wide``, from the eight letters on that two
-    edits leave of ten), letters in any order, and consonants (from the six letters on that two edits leave of eight)."""
+    edits leave of ten), letters in any order, and consonants (from the six letters on that two edits leave of eight; with
+    ``wide`` of any length). Cores that two edits may make long have the keys of long ones too."""
+    names = ["id", "block"]
     for b in batches:
         ids, keys = [], []
         for i, stratum, core, wide in zip(*(b.column(k).to_pylist() for k in range(4))):
             own = [f"{stratum}|{v}" for v in _deletions(core, 2 if wide and len(core) >= 8 else 1)]
-            if 6 <= len(core) < KEY_LETTERS:
+            if wide or len(core) >= 6:
                 own += [f"{stratum}|#{''.join(sorted(core))}", f"{stratum}|%{_bones(core)}"]
+            if len(core) >= KEY_LETTERS - 2:
+                mark = _digest(stratum)
+                own += [f"{mark}~{v}" for v in _long_keys(core, wide)]
             ids += [i] * len(own)
             keys += own
-        yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(keys, pa.string())], names=["id", "block"])
+            if len(keys) >= KEYS_AT_ONCE:
+                yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(keys, pa.string())], names=names)
+                ids, keys = [], []
+        yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(keys, pa.string())], names=names)
 
 
 def _bones(core: str) -> str:
@@ -440,12 +496,14 @@ def _bones(core: str) -> str:
 
 
 def _distances(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Distances; ``swap``: the same letters in another order, or the same consonants: what two slips leave most often."""
+    """Distances; ``swap``: the same letters in another order, or the same consonants: what two slips leave most often; ``n``: the
+    letters of the longer core."""
     for b in batches:
         x, y = b.column(2).to_pylist(), b.column(3).to_pylist()
         d = [distance(p, q) for p, q in zip(x, y)]
         swap = [sorted(p) == sorted(q) or _bones(p) == _bones(q) for p, q in zip(x, y)]
-        yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(d, pa.int32()), pa.array(swap)], names=["a", "b", "d", "swap"])
+        n = [max(len(p), len(q)) for p, q in zip(x, y)]
+        yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(d, pa.int32()), pa.array(swap, pa.bool_()), pa.array(n, pa.int32())], names=["a", "b", "d", "swap", "n"])
 
 
 def blocks(cores: DataFrame) -> DataFrame:
@@ -454,7 +512,7 @@ def blocks(cores: DataFrame) -> DataFrame:
 
 
 def near_pairs(left: DataFrame, right: DataFrame | None = None) -> DataFrame:
-    """(a, b, d): pairs of (id, stratum, core, wide) rows that share a block, with the distance of their cores; d <= 2."""
+    """(a, b, d, swap, n): pairs of (id, stratum, core, wide) rows that share a block, with the distance of their cores; d <= 2."""
     # Written in pieces: the driver keeps every plan and re-plans it after each of its stages, so small plans cost it less.
     lb = written(blocks(left), "blocks")
     if right is None:
@@ -464,7 +522,7 @@ def near_pairs(left: DataFrame, right: DataFrame | None = None) -> DataFrame:
     met = lb.withColumnRenamed("id", "a").join(rb.withColumnRenamed("id", "b"), "block").filter(rule).select("a", "b").distinct()
     met = written(met, "met")
     met = met.join(left.select(F.col("id").alias("a"), F.col("core").alias("ca")), "a").join(right.select(F.col("id").alias("b"), F.col("core").alias("cb")), "b")
-    return written(met.select("a", "b", "ca", "cb").mapInArrow(_distances, "a bigint, b bigint, d int, swap boolean").filter("d <= 2"), "near")
+    return written(met.select("a", "b", "ca", "cb").mapInArrow(_distances, "a bigint, b bigint, d int, swap boolean, n int").filter("d <= 2"), "near")
 
 
 def components(edges: DataFrame, most: int = 40) -> DataFrame:
@@ -516,15 +574,14 @@ def resolve(names: DataFrame) -> DataFrame:
     cores = written(cores, "cores")
     whole = read.filter(full).groupBy("id").agg(F.min("raw").alias("core")).join(cores.select("id", "stratum", "wide"), "id").select("id", "stratum", "core", "wide")
     whole = written(whole, "whole")
-    slips = near_pairs(cores).join(cores.select(F.col("id").alias("a"), "wide", F.length("core").alias("n")), "a")
+    slips = near_pairs(cores).join(cores.select(F.col("id").alias("a"), "wide"), "a")
     slips = slips.filter("n >= 5 and (d <= 1 or (n >= 8 and swap) or (wide and n >= 10))").select("a", "b")
-    longer = whole.select(F.col("id").alias("a"), F.length("core").alias("n"))
-    slips = slips.unionByName(near_pairs(whole).join(longer, "a").filter("d <= 1 or swap or n >= 11").select("a", "b"))
+    slips = slips.unionByName(near_pairs(whole).filter("d <= 1 or swap or n >= 11").select("a", "b"))
     # Misspelt words of an institution change its code: it joins the best supported code of the town within one edit.
     inst = written(profiles.filter("kind = 'inst'").select("id", F.col("core").alias("stratum"), F.col("quals")[0].alias("core"), F.lit(False).alias("wide"), "rows"), "inst")
     met = near_pairs(inst.drop("rows"), inst.drop("rows")).filter("d <= 1").select("a", "b")
     two = met.join(inst.select(F.col("id").alias("a"), F.col("core").alias("ca"), F.col("rows").alias("na")), "a").join(inst.select(F.col("id").alias("b"), F.col("core").alias("cb"), F.col("rows").alias("nb")), "b")
-    two = two.filter("length(ca) >= 3 and (na < nb or (na = nb and ca > cb))").filter(F.levenshtein("ca", "cb") <= 1)
+    two = two.filter("length(ca) >= 3 and (na < nb or (na = nb and ca > cb))").filter(F.levenshtein("ca", "cb", 1) >= 0)
     two = two.select("a", F.struct(F.col("nb").alias("n"), F.col("cb").alias("c"), "b").alias("to"))
     codes = written(two.groupBy("a").agg(F.max("to").alias("to")).select("a", F.col("to.b").alias("b")), "codes")
     same, slips = written(same, "same"), written(slips, "slips")
@@ -560,7 +617,7 @@ def _rematch_things(profiles: DataFrame, found: DataFrame) -> DataFrame:
     every = united.select("comp", "kind", F.explode("cores").alias("core"), "quals").select("comp", "kind", "core", F.explode("quals").alias("qual"))
     every = every.select("comp", F.concat_ws("|", "kind", "qual").alias("stratum"), "core")
     every = written(every.withColumn("id", F.xxhash64("comp", "stratum", "core")).withColumn("wide", F.lit(False)), "things")
-    near = near_pairs(every.select("id", "stratum", "core", "wide")).join(every.select(F.col("id").alias("a"), F.col("comp").alias("x"), F.length("core").alias("n")), "a")
+    near = near_pairs(every.select("id", "stratum", "core", "wide")).join(every.select(F.col("id").alias("a"), F.col("comp").alias("x")), "a")
     near = near.filter("n >= 5 and (d <= 1 or (n >= 8 and swap))").join(every.select(F.col("id").alias("b"), F.col("comp").alias("y")), "b").select("x", "y")
     # The same core and qualifier in two records: one row a group, to its least record.
     same = every.groupBy("stratum", "core").agg(F.min("comp").alias("y"), F.collect_set("comp").alias("all")).filter(F.size("all") > 1).select(F.explode("all").alias("x"), "y")
