@@ -101,6 +101,35 @@ def test_spread_steps_equal_the_driver(spark):
     assert not any(r["reached"] for r in sized.values()) and all(r["error"] < 0 for r in sized.values())
 
 
+def test_the_number_of_groups_changes_no_copy(spark):
+    rng = random.Random(9)
+    mixed = WORDS["a"] + WORDS["b"] + WORDS["c"]
+    rows = [(i, " ".join(rng.choices(WORDS["abc"[i % 3]], k=6) + rng.choices(mixed, k=4 + i % 9)), ["one", "two", "three", None, None][i % 5], 1, 1) for i in range(500)]
+    docs = spark.createDataFrame(rows, DOCS)
+    goals = spark.createDataFrame([("one", 0.6, 2), ("two", 0.3, 2), ("three", 0.1, 3)], "source string, target_share double, max_repeats int")
+    here, spread = ({r["q"]: r["rate"] for r in mixing.Mix(docs, goals, max_groups=n).rates.selectExpr("array_join(q, ' ') q", "rate").collect()} for n in (50_000, 0))
+    assert len(here) > 20 and here == pytest.approx(spread, abs=1e-6)
+    here, spread = (sorted(map(tuple, mixing.Mix(docs, goals, max_groups=n).copies().collect())) for n in (50_000, 0))
+    assert here and here == spread
+
+
+def test_rates_are_fitted_to_the_end():
+    rng = np.random.default_rng(4)
+    p = mixing.hundredths(np.exp(rng.normal(size=(500, 6)) * 3)) / 100
+    tokens, caps = np.floor(np.exp(rng.normal(size=500) * 2 + 6)) + 1, np.array([1, 2, 3, 4, 2, 0.0])
+    mass = p.T @ tokens
+    # 0.3: what can be met is met to the end. 9: too much, so rates lie at their caps wherever more would help.
+    for size in (0.3, 9):
+        goal = np.array([0.4, 0.3, 0.2, 0.1, 0, 0]) * mass.sum() * size
+        rate = mixing.fit_rates(mixing.Fit(goal, caps, mass), p, tokens)
+        pull = p @ (p.T @ (rate * tokens) - goal) / goal.sum()
+        assert (rate >= 0).all() and (rate <= p @ caps + 1e-8).all()
+        inner = (rate > 1e-6) & (rate < p @ caps - 1e-6)
+        assert np.abs(pull[inner]).max(initial=0) < 1e-6
+        some = p @ caps > 1e-3
+        assert (pull[some & (rate >= p @ caps - 1e-6)] < 1e-6).all() and (pull[some & (rate <= 1e-6)] > -1e-6).all()
+
+
 def test_too_many_targets_are_refused(spark):
     goals = spark.range(mixing.MAX_TARGETS + 1).selectExpr("cast(id as string) source", "0.1D target_share", "1 max_repeats")
     with pytest.raises(ValueError):

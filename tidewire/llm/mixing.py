@@ -2,12 +2,11 @@
 
 Method: soft membership. A document belongs to the domain its source names; where the source is missing, a
 naive Bayes classifier trained on the table's labelled documents predicts posteriors over the domains (all
-other sources are one more domain). Nonnegative document rates, capped by the domains' repeats, are fitted by
-projected-gradient least squares so that the expected token totals of the domains match their targets. The
-gradient of a document's rate depends on its membership only, so documents are grouped by their whole posterior (in
-hundredths that add up to one); the gradient steps run over the groups' token sums: on the driver up to ``MAX_GROUPS``
-groups, beyond them as one aggregation a step over the table of groups (``SPREAD_STEPS`` steps; a rate is computed
-anew from the misses of the steps before, so no state is kept).
+other sources are one more domain). Nonnegative document rates, capped by the domains' repeats, are fitted by least
+squares so that the expected token totals of the domains match their targets. A document's rate depends on its
+membership only, so documents are grouped by their whole posterior (in hundredths that add up to one). Of all rates with
+the least misses those nearest to the start are taken: they follow from one price a domain, and Newton steps find
+the prices, each step one aggregation over the table of groups, however many there are, until the misses are least.
 
 A document of uncertain source counts as one domain, drawn by its posterior from its hash. Copies are no independent
 draws: the documents of a group are ranked by their tokens, and the n-th gets floor(rate n + u) - floor(rate (n - 1) + u)
@@ -30,7 +29,7 @@ are ignored.
 from __future__ import annotations
 
 import base64
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -45,8 +44,12 @@ MAX_LABELLED = 20_000
 CACHE = 300_000
 STEPS = 100  # memberships are kept in hundredths
 MAX_TARGETS = 1_000
+#: Up to so many groups their rates are broadcast to the documents; more are joined. The rates are the same.
 MAX_GROUPS = 50_000
-SPREAD_STEPS = 60
+#: The weights of nearness to the start beside the misses, each solved from the prices of the one before; only the last counts.
+NEARNESS = tuple(10.0**-i for i in range(9))
+#: The part of the total size that the last prices may leave open, and the passes after which the fit gives up.
+OPEN, MAX_PASSES = 1e-9, 1_000
 #: A target is reached if its tokens are within this part of the goal.
 REACHED = 0.02
 
@@ -139,62 +142,90 @@ def memberships(documents: DataFrame, targets: list[str], path: str | None = Non
 
 
 class Fit:
-    """Projected gradient on the squared misses of the domains' expected token totals; 0 <= rate <= expected cap."""
+    """Least squares on the misses of the domains' expected token totals; 0 <= rate <= expected cap. A group's rate is its start
+    less the prices of its domains in its own measure; the dual of the least squares has these prices as its only unknowns."""
 
     def __init__(self, goal: np.ndarray, caps: np.ndarray, mass: np.ndarray):
         self.goal, self.caps, self.mass, self.total = goal, caps, mass, max(goal.sum(), 1.0)
 
-    def start(self, p: np.ndarray) -> np.ndarray:
-        return np.minimum(p @ self.caps, 1.0)
+    def _at(self, p: np.ndarray, prices: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        cap = p @ self.caps
+        measure = 0.5 * self.total / np.maximum(p @ self.mass, 1.0)
+        return np.minimum(cap, 1.0) - measure * (p @ prices), cap, measure
 
-    def step(self, p: np.ndarray, rate: np.ndarray, miss: np.ndarray) -> np.ndarray:
-        return np.clip(rate - 0.5 * self.total / np.maximum(p @ self.mass, 1.0) * (p @ miss), 0.0, p @ self.caps)
+    def rates(self, p: np.ndarray, prices: np.ndarray) -> np.ndarray:
+        free, cap, _ = self._at(p, prices)
+        return np.round(np.clip(free, 0.0, cap), 9)
+
+    def sums(self, p: np.ndarray, tokens: np.ndarray, prices: np.ndarray) -> np.ndarray:
+        """The domains' totals, then what they change by with the prices (domains x domains), both of these groups only."""
+        free, cap, measure = self._at(p, prices)
+        bend = p * np.where((free >= 0) & (free <= cap), tokens * measure, 0.0)[:, None]
+        return np.concatenate([p.T @ (np.clip(free, 0.0, cap) * tokens), (bend.T @ p).ravel()])
 
     def miss(self, totals: np.ndarray) -> np.ndarray:
         return (totals - self.goal) / self.total
 
-    def after(self, p: np.ndarray, misses: list[np.ndarray]) -> np.ndarray:
-        """The rates after steps against these misses."""
-        rate = self.start(p)
-        for m in misses:
-            rate = self.step(p, rate, m)
-        return rate
-
-
-def fit_rates(fit: Fit, p: np.ndarray, tokens: np.ndarray, steps: int = 20_000, tol: float = 1e-10) -> np.ndarray:
+    def prices(self, sums: Callable[[np.ndarray], np.ndarray]) -> np.ndarray:
+        """The prices, from ``sums`` over all groups at given prices: Newton steps, shortened where they lead uphill."""
+        k, passes = len(self.goal), 0
+
+        def at(x: np.ndarray) -> np.ndarray:
+            nonlocal passes
+            if (passes := passes + 1) > MAX_PASSES:
+                raise RuntimeError(f"mixing: the fit is still open after {MAX_PASSES} passes")
+            return sums(x)
+
+        x = np.zeros(k)
+        got = at(x)
+        scale = max(1.0, np.abs(self.miss(got[:k])).max(initial=0.0))
+        for near in NEARNESS:
+            least = scale * (OPEN if near == NEARNESS[-1] else 0.01 * near**0.5)
+            while np.abs(slope := near * x - self.miss(got[:k])).max(initial=0.0) > least:
+                step, part = -np.linalg.solve(got[k:].reshape(k, k) / self.total + near * np.eye(k), slope), 1.0
+                down = -(slope @ step)
+                while True:
+                    new = x + part * step
+                    got = at(new)
+                    up = (near * new - self.miss(got[:k])) @ step
+                    if up <= 0.5 * down:
+                        break
+                    part *= max(0.1, down / (down + up))
+                x = new
+        return x
+
+
+def fit_rates(fit: Fit, p: np.ndarray, tokens: np.ndarray) -> np.ndarray:
     """The rates of the membership groups ``p`` (groups x domains) of so many tokens."""
-    rate = fit.start(p)
-    for _ in range(steps):
-        new = fit.step(p, rate, fit.miss(p.T @ (rate * tokens)))
-        if np.abs(new - rate).max(initial=0.0) < tol:
-            return new
-        rate = new
-    return rate
+    return fit.rates(p, fit.prices(lambda x: fit.sums(p, tokens, x)))
 
 
 def _matrix(q: pa.Array, k: int) -> np.ndarray:
     return q.flatten().to_numpy(zero_copy_only=False).reshape(len(q), k) / STEPS
 
 
-def spread_rates(fit: Fit, groups: DataFrame, steps: int = SPREAD_STEPS) -> DataFrame:
-    """(q, rate) of (q, tokens), each step one aggregation."""
+def spread_rates(fit: Fit, groups: DataFrame) -> DataFrame:
+    """(q, rate) of (q, tokens): ``fit_rates`` over a table, each pass one aggregation."""
     k = len(fit.goal)
-    misses: list[np.ndarray] = []
 
-    def totals(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        out = np.zeros(k)
-        for b in batches:
-            p = _matrix(b.column(0), k)
-            out += p.T @ (fit.after(p, misses) * b.column(1).to_numpy(zero_copy_only=False))
-        yield pa.RecordBatch.from_arrays([pa.array([float(x)]) for x in out], names=[f"t{i}" for i in range(k)])
+    def sums(prices: np.ndarray) -> np.ndarray:
+        def part(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            out = np.zeros(k + k * k)
+            for b in batches:
+                out += fit.sums(_matrix(b.column(0), k), b.column(1).to_numpy(zero_copy_only=False), prices)
+            at = np.flatnonzero(out)
+            yield pa.RecordBatch.from_arrays([pa.array(at, pa.int32()), pa.array(out[at])], names=["at", "x"])
+
+        got = groups.select("q", "tokens").mapInArrow(part, "at int, x double").groupBy("at").agg(F.sum("x").alias("x")).toArrow()
+        out = np.zeros(k + k * k)
+        out[got.column("at").to_numpy()] = got.column("x").to_numpy()
+        return out
 
-    for _ in range(steps):
-        sums = groups.mapInArrow(totals, ", ".join(f"t{i} double" for i in range(k))).agg(*[F.sum(f"t{i}") for i in range(k)]).first()
-        misses.append(fit.miss(np.array([x or 0.0 for x in sums])))
+    prices = fit.prices(sums)
 
     def rates(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(fit.after(_matrix(b.column(0), k), misses))], names=["q", "rate"])
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(fit.rates(_matrix(b.column(0), k), prices))], names=["q", "rate"])
 
     return groups.select("q", "tokens").mapInArrow(rates, "q array<int>, rate double")
 
@@ -221,13 +252,8 @@ class Mix:
         exact = (self.caps[:-1][some] * own[some] / self.shares[:-1][some]).min(initial=own.sum())
         self.total = float(exact if total_tokens is None else total_tokens)
         fit = Fit(self.shares * self.total, self.caps, mass)
-        if sums["n"] <= max_groups:
-            got = sorted((tuple(r["q"]), r["tokens"]) for r in groups.collect())  # at most max_groups rows of k numbers
-            p = np.array([q for q, _ in got], float).reshape(len(got), k) / STEPS
-            rates = fit_rates(fit, p, np.array([t for _, t in got], float))
-            self.rates = F.broadcast(self.spark.createDataFrame([(list(q), float(r)) for (q, _), r in zip(got, rates)], "q array<int>, rate double"))
-        else:
-            self.rates = written(spread_rates(fit, groups), "rates")
+        rates = written(spread_rates(fit, groups), "rates")
+        self.rates = F.broadcast(rates) if sums["n"] <= max_groups else rates
 
     def copies(self) -> DataFrame:
         """(doc_id, source, n_tokens, copies): every document in the mix and how often."""
